@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.functions.columns import collect_dictionary, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
+from corpusveil.plans.joins import salted_join
 from corpusveil.session import materialize
 
 INLINE_LITERALS = 600
@@ -249,7 +250,7 @@ def _by_word(df: DataFrame, id_cols: list[str], col: str, out: str, count: str |
         *id_cols, F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), pattern, F.lit(0)))).alias("word")
     )
     changes = (
-        found.join(voc.words, "word")
+        salted_join(found, voc.words, ["word"], id_cols)
         .groupBy(*id_cols)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("word", "renamed"))).alias("_new"),

@@ -82,15 +82,15 @@ NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 
 # --- source text patterns (JVM regex) ---------------------------------------
-JAVA_IMPORT = r"(?m)^import" + SPACE + r"+(?:static" + SPACE + r"+)?([a-zA-Z0-9_.]+);"
-JAVA_PACKAGE = r"(?m)^package" + SPACE + r"+([a-zA-Z0-9_.]+);"
+JAVA_IMPORT = r"(?dm)^import" + SPACE + r"+(?:static" + SPACE + r"+)?([a-zA-Z0-9_.]+);"
+JAVA_PACKAGE = r"(?dm)^package" + SPACE + r"+([a-zA-Z0-9_.]+);"
 JAVA_CLASS = (
     r"(?:public" + SPACE + r"+)?(?:class|interface|enum|@interface)" + SPACE + r"+(" + WORD + r"+)"
 )
 REACT_IMPORTS = [
-    r"(?m)^[ \t]*import" + SPACE + r"+(?:type" + SPACE + r"+)?"
+    r"(?dm)^[ \t]*import" + SPACE + r"+(?:type" + SPACE + r"+)?"
     r"(?:[^'\";]*?" + NOT_AFTER_WORD + r"from" + SPACE + r"*)?['\"]([^'\"\n]+)['\"]",
-    r"(?m)^[ \t]*export" + SPACE + r"+(?:type" + SPACE + r"+)?"
+    r"(?dm)^[ \t]*export" + SPACE + r"+(?:type" + SPACE + r"+)?"
     r"[^'\";]*?" + NOT_AFTER_WORD + r"from" + SPACE + r"*['\"]([^'\"\n]+)['\"]",
     NOT_AFTER_WORD + r"(?:require|import)\(" + SPACE + r"*['\"]([^'\"\n]+)['\"]" + SPACE + r"*\)",
 ]
