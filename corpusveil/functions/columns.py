@@ -50,17 +50,19 @@ def replace_matches(text: Column, pattern: str, replace) -> Column:
 def collect_dictionary(df: DataFrame, key: str, value: str):
     """A lookup function Column -> Column over a small dictionary carried in the plan.
 
-    Reads at most INLINE_MAX_ENTRIES + 1 rows. Returns None when the dictionary is
+    The size is checked before anything is read. Returns None when the dictionary is
     over the bounds, so the caller joins instead. Entries are spread over buckets
     because a map lookup scans its keys.
     """
-    rows = (
-        df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.xxhash64(key).alias("h"))
-        .limit(INLINE_MAX_ENTRIES + 1)
-        .collect()
+    entries = df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.xxhash64(key).alias("h"))
+    size = (
+        entries.limit(INLINE_MAX_ENTRIES + 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("k") + F.length("v")), F.lit(0)).alias("chars"))
+        .first()
     )
-    if len(rows) > INLINE_MAX_ENTRIES or sum(len(r.k) + len(r.v) for r in rows) > INLINE_MAX_CHARS:
+    if size.n > INLINE_MAX_ENTRIES or size.chars > INLINE_MAX_CHARS:
         return None
+    rows = entries.collect()
     n = max(1, len(rows) // 4)
     buckets: list[dict[str, str]] = [{} for _ in range(n)]
     for r in rows:
