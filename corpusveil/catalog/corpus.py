@@ -11,10 +11,10 @@ TEXT_MAPPING = [
     ("package", 0, "example.com", "zq-host.test"),
     ("package", 1, "example.net", "zq-net.test"),
     ("variable", 0, "The", "Zqunit"),
-    ("variable", 1, "that", "zqOther"),
-    ("variable", 2, "Ander", "ZqSide"),
+    ("variable", 1, "that", "zqway"),
+    ("variable", 2, "Ander", "Zqside"),
     ("variable", 3, "Les", "Zqlots"),
-    ("variable", 4, "thereThe", "ZqLong"),
+    ("variable", 4, "thereThe", "Zqlong"),
 ]
 CODE_MAPPING = [
     ("package", 0, "com.myco", "org.safe"),

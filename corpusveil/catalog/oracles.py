@@ -398,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
       hits AS (SELECT page_id, count(hit)::INT AS n FROM sp GROUP BY page_id)
       SELECT page_id, {trim('html')} AS text, h.n AS strings_restored, c.text <> {trim('html')} AS changed FROM pages JOIN cl c USING (page_id) JOIN hits h USING (page_id)"""
     q["v2_leftover_tokens"] = f"""WITH {PAGE_LITERALS}, {dictionary_cte('pp', 'page_id', 'dict')}, lt AS (SELECT DISTINCT page_id, token FROM pp JOIN dict ON literal = hit)
-      SELECT page_id, 'unrestorable placeholder(s) left in place' AS reason, string_agg(token, ', ' ORDER BY token) AS tokens FROM lt GROUP BY page_id"""
+      SELECT page_id, 'placeholder(s) found but the mapping has no literals — left as-is' AS reason, string_agg(token, ', ' ORDER BY token) AS tokens FROM lt GROUP BY page_id"""
     q["v3_rename_plan"] = f"WITH RECURSIVE {RETURNED} SELECT project, path, target, collision FROM plan"
     q["v3_collisions"] = f"WITH RECURSIVE {RETURNED} SELECT project, path, target FROM plan WHERE collision"
     q["v4_reversal_summary"] = f"""WITH RECURSIVE {Q.JAVA_FILES}, {CODE_RULES}, {java_path_ctes('jf', 'mv')}, {pieces_cte('jf', 'project, path', JAVA_STRING, 'sp')},
@@ -408,9 +408,12 @@ def oracle_sql() -> dict[str, str]:
     q["v5_pending_reversals"] = """WITH last AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS h FROM orders GROUP BY o_custkey)
       SELECT c_custkey::VARCHAR AS dataset_id, '1-URGENT' AS mapping_sha256 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM last WHERE h = '1-URGENT')"""
     q["a1_leak_audit"] = f"WITH RECURSIVE {renamed_docs} SELECT doc_id, n::INT AS n_hits, rn.text <> src.text AS would_change FROM rn JOIN src USING (doc_id) WHERE n > 0"
-    q["a1_leak_audit_clean"] = "SELECT 0::BIGINT AS n_leaks"
+    # a target may hold another source (ZQ_OTHER holds THE): the audit must find exactly those
+    q["a1_leak_audit_clean"] = f"WITH RECURSIVE {renamed_docs}, {Q.rename_cte('rn', 'doc_id', 'rb')} SELECT count(*) AS n_leaks FROM rb WHERE n > 0"
     stripped = trim(strip_tags(strip_java("text")))
-    q["a2_round_trip_audit"] = f"SELECT doc_id, 'differs' AS problem FROM documents WHERE {stripped} <> {trim('text')}"
+    q["a2_round_trip_audit"] = f"""WITH {CODE_AND_DOCS}, came AS (SELECT project || '/' || path AS id FROM jf UNION ALL SELECT doc_id::VARCHAR FROM labels)
+      SELECT cd.id, CASE WHEN came.id IS NULL THEN 'missing' ELSE 'differs' END AS problem FROM cd LEFT JOIN came ON came.id = cd.id
+      WHERE came.id IS NULL OR {stripped} <> {trim('text')}"""
     last = "regexp_extract(module_id, '([^.]*)$', 1)"
     q["b1_bundles"] = bundle_query(JAVA_CLOSURE, v.SPRING, CODE_MAPPING, last, "jest")
     stem = "regexp_replace(regexp_extract(module_id, '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1')"

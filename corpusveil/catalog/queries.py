@@ -465,9 +465,8 @@ def v1_reverse_text(spark, sf_dir):
 
 
 def v2_leftover_tokens(spark, sf_dir):
-    """Masked pages restored with the dictionary of the event properties only."""
-    masked = l3_mask_literals(spark, sf_dir)
-    return V.leftovers(masked, ["page_id"], "text", True)
+    """Masked pages that come back with a mapping that has no literals."""
+    return V.leftovers(l3_mask_literals(spark, sf_dir), ["page_id"], "text", False)
 
 
 def _returned_paths(spark, sf_dir) -> DataFrame:
@@ -502,7 +501,7 @@ def v5_pending_reversals(spark, sf_dir):
     orders = C.table(spark, sf_dir, "orders")
     ledger = orders.select(
         F.col("o_custkey").cast("string").alias("dataset_id"), F.col("o_orderpriority").alias("mapping_sha256"),
-        F.timestamp_micros(F.unix_micros("o_orderdate") + F.col("o_orderkey")).alias("ts"),
+        F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("ts"),
     )
     batch = C.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("dataset_id"), F.lit("1-URGENT").alias("mapping_sha256")
@@ -516,18 +515,25 @@ def a1_leak_audit(spark, sf_dir):
 
 
 def a1_leak_audit_clean(spark, sf_dir):
-    """Documents after cleaning: nothing left."""
+    """Documents after cleaning: only where a target holds another source."""
     rules = R.content_rules(_text_maps(spark))
     clean = W.rename_text(_documents(spark, sf_dir), ["doc_id"], "text", rules)
     return A.leak_audit(clean, ["doc_id"], "text", rules).agg(F.count(F.lit(1)).alias("n_leaks"))
 
 
 def a2_round_trip_audit(spark, sf_dir):
-    """Documents cleaned with comments stripped and restored: what did not come back."""
+    """Code and documents cleaned with comments stripped and restored; of the documents only
+    those with a label come back. What is missing or differs."""
+    code = C.java_files(spark, sf_dir).select(F.concat_ws("/", "project", "path").alias("id"), "text")
+    docs = _documents(spark, sf_dir)
+    labelled = docs.join(C.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    as_text = F.col("doc_id").cast("string").alias("id")
+    original = code.unionByName(docs.select(as_text, "text"))
     options = S.Options(strip_comments=True, strip_doc_tags=True, strip_loggers=False)
-    clean = S.sanitize(_documents(spark, sf_dir), ["doc_id"], "text", _text_maps(spark), options, v.SPRING)
-    back = V.reverse_text(clean, ["doc_id"], "text", _text_maps(spark), None)
-    return A.round_trip_audit(_documents(spark, sf_dir), back, ["doc_id"], "text")
+    sent = code.unionByName(labelled.select(as_text, "text"))
+    clean = S.sanitize(sent, ["id"], "text", _text_maps(spark), options, v.SPRING)
+    back = V.reverse_text(clean, ["id"], "text", _text_maps(spark), None)
+    return A.round_trip_audit(original, back, ["id"], "text")
 
 
 def b1_bundles(spark, sf_dir):

@@ -18,6 +18,7 @@ from corpusveil.operators.profiles import PROFILES, by_lang
 from corpusveil.plans.joins import hot_key_join
 from corpusveil.session import materialize, number_rows
 
+PLACE_ROUNDS = 16
 CLOSURE = ["project", "entry", "module_id", "path", "type", "found", "depth"]
 
 
@@ -158,22 +159,22 @@ def trace_closure(
     )
     key = ["project", "entry", "module_id"]
 
-    def placed(df: DataFrame, depth: int) -> DataFrame:
-        """Give the rows of one depth increasing places in (parent place, import) order."""
-        order = ["project", "entry", "p_place", "ord"]
-        return materialize(
-            df.repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .withColumn("place", F.monotonically_increasing_id())
-            .withColumn("depth", F.lit(depth)),
-            "frontier",
-        )
+    def stored(df: DataFrame, depth: int) -> DataFrame:
+        """The rows of one depth with `place`, a text that sorts like the order of discovery:
+        the place of the first parent and the import number. Every PLACE_ROUNDS rounds it is
+        replaced by a rank, so it stays short on deep graphs."""
+        number = F.lpad(F.hex("ord"), 8, "0")
+        df = df.withColumn("place", F.concat("p_place", number)).withColumn("depth", F.lit(depth))
+        if depth and depth % PLACE_ROUNDS == 0:
+            order = ["project", "entry", "place"]
+            ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            df = ranked.withColumn("place", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+        return materialize(df, "frontier")
 
-    zero = F.lit(0).cast("bigint")
     start = entries.select("project", "entry", F.col("entry").alias("path")).distinct().join(
         modules.select("project", "path", "module_id", "type"), ["project", "path"]
-    ).select(*key, "path", "type", zero.alias("p_place"), F.lit(0).alias("ord"))
-    frontier = placed(start, 0)
+    ).select(*key, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
+    frontier = stored(start, 0)
     rounds = [frontier]
     while True:
         steps = hot_key_join(
@@ -191,7 +192,7 @@ def trace_closure(
             .join(seen, key, "left_anti")
             .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
         )
-        frontier = placed(fresh, len(rounds))
+        frontier = stored(fresh, len(rounds))
         if frontier.isEmpty():
             break
         rounds.append(frontier)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+SMALL_ROWS = 1_000_000
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
@@ -20,8 +21,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[s
 def hot_key_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
     """As salted_join for a few side that is large itself: only keys that hold more than a
     thousandth of the many side are spread and repeated. There are at most 1,000 of them,
-    so their list may be broadcast. `many` is read twice: pass a stored table."""
-    least = many.count() // 1000 + SALTS
+    so their list may be broadcast. Up to SMALL_ROWS rows no key can hurt and the join is
+    plain. `many` is read more than once: pass a stored table."""
+    rows = many.count()
+    if rows <= SMALL_ROWS:
+        return many.join(few, keys, how)
+    least = rows // 1000
     hot = many.groupBy(*keys).count().where(F.col("count") > least).select(*keys, F.lit(True).alias("_hot"))
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     salted = many.join(F.broadcast(hot), keys, "left").withColumn(
