@@ -174,15 +174,15 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping sets found in the data. Identifiers, one set per language: the first word of
     a document stands for the second. Packages, one set per top-level domain: hosts stand
     for their domain, for a prefixed host or for themselves."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    first = F.regexp_extract("text", "([A-Za-z]{2,})", 1)
+    second = F.regexp_extract("text", "(?s)[A-Za-z]{2,}+.*?([A-Za-z]{2,})", 1)
     variable = (
         table(spark, sf_dir, "documents")
-        .select("lang", "doc_id", words.alias("w"))
-        .where(F.size("w") >= 2)
         .select(
             F.col("lang").alias("set_id"), F.lit("variable").alias("kind"), F.col("doc_id").cast("int").alias("ord"),
-            F.col("w")[0].alias("from"), F.col("w")[1].alias("to"),
+            first.alias("from"), second.alias("to"),
         )
+        .where(F.col("to") != "")
     )
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
     page = F.col("page_id") % 3

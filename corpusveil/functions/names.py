@@ -116,33 +116,32 @@ FAMILIES = [
 ]
 
 
-def tagged_forms(c: Column) -> Column:
-    """array<struct<family, form, tag>>: every case family as given, in the plural and
-    in the singular; empty forms dropped; the first derivation of a form is kept."""
-    bases = F.array(*[F.struct(F.lit(f).alias("family"), fn(c).alias("base")) for f, fn in FAMILIES])
-
-    def three(b: Column) -> Column:
-        def entry(form: Column, tag: str) -> Column:
-            return F.struct(b["family"].alias("family"), form.alias("form"), F.lit(tag).alias("tag"))
-
-        return F.array(
-            entry(b["base"], "as_is"),
-            entry(pluralize(b["base"]), "plural"),
-            entry(singularize(b["base"]), "singular"),
-        )
-
-    def first_of_each(all_forms: Column) -> Column:
-        return F.filter(
-            all_forms,
-            lambda x, i: (x["form"] != "") & (F.array_position(all_forms["form"], x["form"]) == i + 1),
-        )
-
-    return let(F.flatten(F.transform(bases, three)), first_of_each)
+def with_forms(df: DataFrame, col: str, out: str = "forms") -> DataFrame:
+    """df with `out`: array<struct<family, form, tag>>, every case family of df[col] as
+    given, in the plural and in the singular; empty forms dropped; the first derivation of
+    a form is kept. The steps are separate projections, so each form is computed once."""
+    kept = df.columns
+    based = df.select(*kept, *[fn(F.col(col)).alias(f"_{family}") for family, fn in FAMILIES])
+
+    def entry(family: str, form: Column, tag: str) -> Column:
+        return F.struct(F.lit(family).alias("family"), form.alias("form"), F.lit(tag).alias("tag"))
+
+    every = [
+        entry(family, form, tag)
+        for family, _ in FAMILIES
+        for base in [F.col(f"_{family}")]
+        for form, tag in [(base, "as_is"), (pluralize(base), "plural"), (singularize(base), "singular")]
+    ]
+    full = based.select(*kept, F.array(*every).alias("_forms")).withColumn("_texts", F.col("_forms")["form"])
+    first = F.filter(
+        "_forms", lambda x, i: (x["form"] != "") & (F.array_position(F.col("_texts"), x["form"]) == i + 1)
+    )
+    return full.select(*kept, first.alias(out))
 
 
-def form_set(c: Column) -> Column:
-    """The distinct forms of a name, sorted."""
-    return F.array_sort(tagged_forms(c)["form"])
+def with_form_set(df: DataFrame, col: str, out: str) -> DataFrame:
+    """df with one row per distinct form of df[col]."""
+    return with_forms(df, col, "_f").select(*df.columns, F.explode(F.col("_f")["form"]).alias(out))
 
 
 def name_forms(df: DataFrame, col: str) -> DataFrame:

@@ -7,8 +7,6 @@ Edges:   project, src_path, ord, spec, dep_id, dep_path (null = not found).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from corpusveil import values as v
 from corpusveil.functions import paths
 from corpusveil.operators.profiles import PROFILES, by_lang
 from corpusveil.plans.joins import hot_key_join
-from corpusveil.session import materialize, number_rows
+from corpusveil.session import materialize, new_table_path, number_rows
 
 PLACE_ROUNDS = 16
 CLOSURE = ["project", "entry", "module_id", "path", "type", "found", "depth"]
@@ -159,44 +157,45 @@ def trace_closure(
     )
     key = ["project", "entry", "module_id"]
 
-    def stored(df: DataFrame, depth: int) -> DataFrame:
-        """The rows of one depth with `place`, a text that sorts like the order of discovery:
-        the place of the first parent and the import number. Every PLACE_ROUNDS rounds it is
-        replaced by a rank, so it stays short on deep graphs."""
-        number = F.lpad(F.hex("ord"), 8, "0")
-        df = df.withColumn("place", F.concat("p_place", number)).withColumn("depth", F.lit(depth))
+    base = new_table_path(edges.sparkSession, "closure")
+    row = "project STRING, entry STRING, module_id STRING, path STRING, type STRING, p_place STRING, ord INT, place STRING"
+
+    def store(df: DataFrame, depth: int) -> int:
+        """Write the rows of one depth; returns how many. `place` sorts like the order of
+        discovery within a depth: the place of the first parent and the import number. Every
+        PLACE_ROUNDS rounds it becomes a rank, so it stays short on deep graphs."""
+        df = df.withColumn("place", F.concat("p_place", F.lpad(F.hex("ord"), 8, "0")))
         if depth and depth % PLACE_ROUNDS == 0:
             order = ["project", "entry", "place"]
             ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
             df = ranked.withColumn("place", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-        return materialize(df, "frontier")
+        path = f"{base}/depth={depth}"
+        df.write.parquet(path)
+        return edges.sparkSession.read.schema(row).parquet(path).count()
+
+    def stored() -> DataFrame:
+        """All rounds so far as one scan, with their depth."""
+        return edges.sparkSession.read.schema(row + ", depth INT").parquet(base)
 
     start = entries.select("project", "entry", F.col("entry").alias("path")).distinct().join(
         modules.select("project", "path", "module_id", "type"), ["project", "path"]
     ).select(*key, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
-    frontier = stored(start, 0)
-    rounds = [frontier]
-    while True:
-        steps = hot_key_join(
-            frontier.where(F.col("path").isNotNull()).select(
-                "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
-            ),
-            adjacency,
-            ["project", "src_path"],
-            ["entry"],
+    depth, rows = 0, store(start, 0)
+    while rows:
+        sofar = stored()
+        frontier = sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
+            "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
         )
-        seen = reduce(DataFrame.unionByName, [r.select(*key) for r in rounds])
         fresh = (
-            steps.groupBy(*key)
+            hot_key_join(frontier, adjacency, ["project", "src_path"], ["entry"], rows=rows)
+            .groupBy(*key)
             .agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
-            .join(seen, key, "left_anti")
+            .join(sofar.select(*key), key, "left_anti")
             .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
         )
-        frontier = stored(fresh, len(rounds))
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    reached = reduce(DataFrame.unionByName, rounds).withColumn("found", F.col("path").isNotNull())
+        depth += 1
+        rows = store(fresh, depth)
+    reached = stored().withColumn("found", F.col("path").isNotNull())
     if not sequence:
         return reached.select(*CLOSURE)
     # a missing module is listed with its parent, a found one when its turn comes

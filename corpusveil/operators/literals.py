@@ -13,7 +13,7 @@ from corpusveil import values as v
 from corpusveil.functions.columns import collect_dictionary, is_match, pieces
 from corpusveil.functions.text import segments
 from corpusveil.operators.profiles import by_lang
-from corpusveil.plans.joins import salted_join
+from corpusveil.plans.joins import substitute
 from corpusveil.session import number_rows
 
 DICTIONARY_SCHEMA = "token STRING, idx BIGINT, literal STRING"
@@ -95,16 +95,9 @@ def mask_literals(
     lookup = collect_dictionary(tokens, "literal", "token")
     if lookup:
         return df.withColumn(out, _mask_parts(parts, lookup))
-    found = df.select(*id_cols, F.explode(F.array_distinct(F.array_compact(parts["literal"]))).alias("literal"))
-    # a group is one text: its distinct literals
-    per_text = (
-        salted_join(found, tokens, ["literal"], id_cols)
-        .groupBy(*id_cols)
-        .agg(F.map_from_entries(F.collect_list(F.struct("literal", "token"))).alias("_tokens"))
-    )
-    joined = df.join(per_text, id_cols, "left")
-    masked = _mask_parts(parts, lambda x: F.element_at("_tokens", x))
-    return joined.withColumn(out, F.when(F.col("_tokens").isNull(), F.col(col)).otherwise(masked)).drop("_tokens")
+    keyed = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["literal"].alias("key")))
+    known = tokens.select(F.col("literal").alias("key"), F.col("token").alias("value"), F.lit(1).alias("n"))
+    return substitute(df, id_cols, keyed, known, out, _requote)
 
 
 def _inside(quoted: Column) -> Column:
@@ -129,25 +122,16 @@ def unmask_literals(
     known = dictionary.groupBy("token").agg(F.max("literal").alias("literal"))
     lookup = collect_dictionary(known, "token", "literal")
     if lookup:
-        joined, touched = df, F.lit(True)
-    else:
-        quoted = F.regexp_extract_all(F.col(col), F.lit(v.QUOTED_TOKEN), F.lit(0))
-        found = df.select(*id_cols, F.explode(F.array_distinct(F.transform(quoted, _inside))).alias("token"))
-        per_text = (
-            salted_join(found, known, ["token"], id_cols)
-            .groupBy(*id_cols)
-            .agg(F.map_from_entries(F.collect_list(F.struct("token", "literal"))).alias("_known"))
-        )
-        joined, touched = df.join(per_text, id_cols, "left"), F.col("_known").isNotNull()
-
-        def lookup(token: Column) -> Column:
-            return F.element_at("_known", token)
-
-    text, hits = _unmask(F.col(col), lookup)
-    result = joined.withColumn("_text", F.when(touched, text).otherwise(F.col(col)))
-    if count:
-        result = result.withColumn(count, F.when(touched, hits).otherwise(F.lit(0)))
-    return result.withColumn(out, F.col("_text")).drop("_text", "_known")
+        text, hits = _unmask(F.col(col), lookup)
+        result = df.withColumn("_text", text)
+        result = result.withColumn(count, hits) if count else result
+        return result.withColumn(out, F.col("_text")).drop("_text")
+    keyed = F.transform(
+        pieces(F.col(col), v.QUOTED_TOKEN),
+        lambda p, i: F.struct(p.alias("text"), F.when(is_match(i), _inside(p)).alias("key")),
+    )
+    values = known.select(F.col("token").alias("key"), F.col("literal").alias("value"), F.lit(1).alias("n"))
+    return substitute(df, id_cols, keyed, values, out, lambda old, new: new, count)
 
 
 def leftover_tokens(text: Column) -> Column:

@@ -13,6 +13,7 @@ comes before an identifier rule. Both ways below use this:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.functions.columns import collect_dictionary, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
-from corpusveil.plans.joins import salted_join
-from corpusveil.session import materialize
+from corpusveil.plans.joins import dictionary_join, substitute
+from corpusveil.session import materialize, parallelism
 
 INLINE_LITERALS = 600
 
@@ -185,30 +186,57 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
     words = texts.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(cls + "++"), F.lit(0)))).alias("word")
     ).distinct()
-    # a window per place: the character before it, the longest literal, two characters after
+    # few bytes but much work per word: do not let the planner merge them into few tasks
+    words = materialize(words.repartition(parallelism(texts.sparkSession), "word"), "words")
+    yes, no = F.lit(True), F.lit(False)
+
+    # most words have no inner capital, underscore or other edge: only the whole word can match
+    plain = F.rlike("word", F.lit("^[A-Za-z]?[a-z0-9]*$"))
+    whole = words.where(plain & (F.length("word") <= longest)).select(
+        "word", F.lit(0).alias("at"), F.length("word").alias("len"), F.col("word").alias("literal"),
+        yes.alias("package"), yes.alias("standalone"), no.alias("upper_prefix"), no.alias("prefix"), no.alias("pascal_suffix"),
+    )
+
+    # the others: a window per place with the character before it, the longest literal and two after
+    def between(c: Column, *ranges: str) -> Column:
+        return reduce(Column.__or__, [(c >= r[0]) & (c <= r[-1]) for r in ranges])
+
     window = F.lit("(?s)(?=(.{2,%d}))" % (longest + 3))
-    places = words.select(
+    places = words.where(~plain).select(
         "word", F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), "word"), window, F.lit(1))).alias("at", "w")
     )
-    spans = places.select(
-        "word", "at", "w", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len")
-    ).where(F.length("w") > F.col("len"))
-    left, first = F.substr("w", F.lit(1), F.lit(1)), F.substr("w", F.lit(2), F.lit(1))
-    right = F.substr("w", F.col("len") + 2, F.lit(2))
-    edged = spans.select(
-        "word", "at", "len",
-        F.substr("w", F.lit(2), F.col("len")).alias("literal"),
-        (~F.rlike(left, F.lit("[A-Za-z0-9_]")) & ~F.rlike(right, F.lit("^[A-Za-z0-9_]"))).alias("package"),
-        (~F.rlike(left, F.lit("[A-Za-z0-9_]")) & ~F.rlike(right, F.lit("^[A-Za-z0-9]"))).alias("standalone"),
-        F.rlike(right, F.lit("^_[A-Z]")).alias("upper_prefix"),
-        F.rlike(right, F.lit("^[A-Z]")).alias("camel_prefix"),
-        (F.rlike(left, F.lit("[a-z]")) & F.rlike(first, F.lit("[A-Z]"))).alias("pascal_suffix"),
-    ).where("package or standalone or upper_prefix or camel_prefix or pascal_suffix")
-    hits = edged.join(literals, "literal")
+    before, first = F.substr("w", F.lit(1), F.lit(1)), F.substr("w", F.lit(2), F.lit(1))
+    placed = places.select(
+        "word", "at", "w",
+        (~between(before, "az", "AZ", "09") & (before != "_")).alias("open"),
+        (between(before, "az") & between(first, "AZ")).alias("pascal_suffix"),
+    )
+
+    def after(n: Column) -> dict[str, Column]:
+        one, two = F.substr("w", n + 2, F.lit(1)), F.substr("w", n + 3, F.lit(1))
+        return {
+            "package": F.col("open") & ~between(one, "az", "AZ", "09") & (one != "_"),
+            "standalone": F.col("open") & ~between(one, "az", "AZ", "09"),
+            "upper_prefix": (one == "_") & between(two, "AZ"),
+            "prefix": between(one, "AZ"),
+        }
+
+    # most places of a word allow nothing: they are dropped before a row is made of them
+    usable = F.filter(
+        F.array(*[F.lit(n) for n in lengths]),
+        lambda n: (F.length("w") > n)
+        & (F.col("pascal_suffix") | reduce(Column.__or__, [c for k, c in after(n).items() if k != "package"])),
+    )
+    inner = placed.select("*", F.explode(usable).alias("len")).select(
+        "word", "at", "len", F.substr("w", F.lit(2), F.col("len")).alias("literal"),
+        *[c.alias(name) for name, c in after(F.col("len")).items()], "pascal_suffix",
+    )
+    edged = whole.unionByName(inner)
+    hits = dictionary_join(edged, literals, ["literal"], ["word"])
     by_shape = F.lit(False)
     for shape, flag in [
-        ("standalone", "standalone"), ("upper_prefix", "upper_prefix"), ("pascal_prefix", "camel_prefix"),
-        ("camel_prefix", "camel_prefix"), ("pascal_suffix", "pascal_suffix"),
+        ("standalone", "standalone"), ("upper_prefix", "upper_prefix"), ("pascal_prefix", "prefix"),
+        ("camel_prefix", "prefix"), ("pascal_suffix", "pascal_suffix"),
     ]:
         by_shape = by_shape | (F.array_contains("shapes", shape) & F.col(flag))
     chosen = F.coalesce(F.when(F.col("package"), F.col("as_package")), F.when(by_shape, F.col("as_variable")))
@@ -243,35 +271,13 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
 
 
 def _by_word(df: DataFrame, id_cols: list[str], col: str, out: str, count: str | None, voc: Vocabulary) -> DataFrame:
-    """Rebuild texts from renamed words. Only words that change travel: they are looked up
-    once per text, gathered per text (bounded by the text) and joined back on its id."""
-    pattern = F.lit(voc.word_pattern)
-    found = df.select(
-        *id_cols, F.explode(F.array_distinct(F.regexp_extract_all(F.col(col), pattern, F.lit(0)))).alias("word")
-    )
-    changes = (
-        salted_join(found, voc.words, ["word"], id_cols)
-        .groupBy(*id_cols)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("word", "renamed"))).alias("_new"),
-            F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_n"),
-        )
-    )
-    joined = df.join(changes, id_cols, "left")
-    text = replace_matches(
-        F.col(col), voc.word_pattern, lambda p: F.coalesce(F.element_at("_new", p), p)
-    )
-    hits = F.aggregate(
-        F.regexp_extract_all(F.col(col), pattern, F.lit(0)),
-        F.lit(0),
-        lambda acc, w: acc + F.coalesce(F.element_at("_n", w), F.lit(0)),
+    """Rebuild texts from renamed words."""
+    parts = F.transform(
+        pieces(F.col(col), voc.word_pattern),
+        lambda p, i: F.struct(p.alias("text"), F.when(is_match(i), p).alias("key")),
     )
-    changed = F.col("_new").isNotNull()
-    result = joined.withColumn("_text", F.when(changed, text).otherwise(F.col(col)))
-    if count:
-        result = result.withColumn(count, F.when(changed, hits).otherwise(F.lit(0)))
-    result = result.withColumn(out, F.col("_text")).drop("_text", "_new", "_n")
-    return result
+    dictionary = voc.words.select(F.col("word").alias("key"), F.col("renamed").alias("value"), "n")
+    return substitute(df, id_cols, parts, dictionary, out, lambda old, new: new, count)
 
 
 # --- operators --------------------------------------------------------------------------

@@ -29,10 +29,12 @@ def escape(c: Column) -> Column:
 def expand_forms(mappings: DataFrame) -> DataFrame:
     """One row per form of a variable mapping's source name, with the target in the same form."""
     pairs = valid_pairs(mappings).where(F.col("kind") == "variable")
-    forms = pairs.select(
-        "set_id", "kind", "ord", "from", "to",
-        F.posexplode(names.tagged_forms(F.col("from"))).alias("form_pos", "f"),
-    ).select("set_id", "kind", "ord", "from", "to", "form_pos", "f.*")
+    formed = names.with_forms(pairs.select("set_id", "kind", "ord", "from", "to"), "from")
+    # outer: for a plain explode of a column the optimizer adds a filter on it, and pushing that
+    # filter down would repeat every form expression many times over
+    forms = formed.select(
+        "set_id", "kind", "ord", "from", "to", F.posexplode_outer("forms").alias("form_pos", "f")
+    ).where(F.col("f").isNotNull()).select("set_id", "kind", "ord", "from", "to", "form_pos", "f.*")
     form, to = F.col("form"), F.col("to")
     shaped = forms.withColumn(
         "_target",
@@ -252,8 +254,8 @@ def variable_overlaps(mappings: DataFrame) -> DataFrame:
     pairs = valid_pairs(mappings).where(F.col("kind") == "variable")
     sources = pairs.select("set_id", F.col("from").alias("source")).distinct()
     targets = pairs.select("set_id", F.col("to").alias("target")).distinct()
-    source_forms = sources.select("set_id", "source", F.explode(names.form_set(F.col("source"))).alias("form"))
-    target_forms = targets.select("set_id", "target", F.explode(names.form_set(F.col("target"))).alias("form"))
+    source_forms = names.with_form_set(sources, "source", "form")
+    target_forms = names.with_form_set(targets, "target", "form")
     shared = (
         target_forms.join(source_forms, ["set_id", "form"])
         .groupBy("set_id", "target", "source")

@@ -12,6 +12,7 @@ from corpusveil.operators import literals as L
 from corpusveil.operators.profiles import by_lang
 from corpusveil.operators.rename import rename_text
 from corpusveil.operators.rules import content_rules
+from corpusveil.session import materialize
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,8 @@ def sanitize_corpus(
     staged = before_mask(df, id_cols, col, mappings, options, lang)
     dictionary = existing
     if options.mask_strings:
+        # read twice, once for its literals and once to mask them: cheaper stored than renamed again
+        staged = materialize(staged, "renamed")
         keys = list(dict.fromkeys([*id_cols, *order]))
         found = L.extract_literals(staged, keys, col, lang)
         dictionary = L.build_dictionary(found, [*order, "pos"], existing)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusveil.functions.columns import let
+
 SALTS = 8
 SMALL_ROWS = 1_000_000
 
@@ -18,12 +20,14 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[s
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_key_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+def hot_key_join(
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner", rows: int | None = None
+) -> DataFrame:
     """As salted_join for a few side that is large itself: only keys that hold more than a
     thousandth of the many side are spread and repeated. There are at most 1,000 of them,
     so their list may be broadcast. Up to SMALL_ROWS rows no key can hurt and the join is
-    plain. `many` is read more than once: pass a stored table."""
-    rows = many.count()
+    plain. `many` is read more than once: pass a stored table, and its `rows` if known."""
+    rows = many.count() if rows is None else rows
     if rows <= SMALL_ROWS:
         return many.join(few, keys, how)
     least = rows // 1000
@@ -37,3 +41,78 @@ def hot_key_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[
         "_salt", F.explode(F.when(F.col("_hot"), everyone).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+BROADCAST_ROWS = 500_000
+BROADCAST_CHARS = 100_000_000
+
+
+def dictionary_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of very many rows with a dictionary that is unique by key. A dictionary of
+    checked size is broadcast, so the many side is not shuffled at all; a larger one takes
+    the salted join. `few` should be a stored table: it is measured first."""
+    texts = [c for c, t in few.dtypes if t == "string"]
+    chars = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)))
+    size = few.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(chars, F.lit(0)).alias("c")).first()
+    if size.n <= BROADCAST_ROWS and size.c <= BROADCAST_CHARS:
+        return many.join(F.broadcast(few), keys)
+    return salted_join(many, few, keys, spread)
+
+
+CHUNK = 256
+
+
+def substitute(
+    df: DataFrame, id_cols: list[str], parts: Column, dictionary: DataFrame, out: str, render, count: str | None = None
+) -> DataFrame:
+    """Rebuild texts from parts (array<struct<text, key>>) by a dictionary (key, value, n) of
+    any size: a part whose key is known becomes render(text, value). `count` receives the
+    sum of n over the replaced parts.
+
+    Texts are shuffled by id once; with a broadcast dictionary the lookup, both groupings
+    and the way back to the text need no further shuffle. A text is looked up in chunks of CHUNK parts: a map lookup
+    scans its keys, and so a long text costs no more per part than a short one.
+    """
+
+    def chunks(ps: Column, body) -> Column:
+        last = F.ceil(F.size(ps) / CHUNK).cast("int") - 1
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: body(i, F.slice(ps, i * CHUNK + 1, F.lit(CHUNK)))
+        )
+
+    df = df.repartition(*id_cols)
+    wanted = let(parts, lambda ps: chunks(ps, lambda i, c: F.array_distinct(F.array_compact(c["key"]))))
+    found = df.select(*id_cols, F.posexplode(wanted).alias("_chunk", "_keys")).select(
+        *id_cols, "_chunk", F.explode("_keys").alias("key")
+    )
+    entry = F.struct("key", F.struct("value", "n").alias("v"))
+    hits = dictionary_join(found, dictionary.select("key", "value", "n"), ["key"], [*id_cols, "_chunk"])
+    # a group is a chunk, then a text
+    per_text = (
+        hits.groupBy(*id_cols, "_chunk")
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
+        .groupBy(*id_cols)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
+    )
+
+    def replaced(i: Column, chunk: Column) -> Column:
+        def part(p: Column, known: Column) -> Column:
+            hit = F.element_at(known, p["key"])
+            return F.struct(
+                F.when(hit.isNotNull(), render(p["text"], hit["value"])).otherwise(p["text"]).alias("text"),
+                F.coalesce(hit["n"].cast("int"), F.lit(0)).alias("n"),
+            )
+
+        return let(F.element_at("_maps", i), lambda known: F.transform(chunk, lambda p: part(p, known)))
+
+    joined = df.join(per_text, id_cols, "left").withColumn(
+        "_made", F.when(F.col("_maps").isNotNull(), F.flatten(let(parts, lambda ps: chunks(ps, replaced))))
+    )
+    whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    result = joined.withColumn(
+        "_text", F.when(F.col("_made").isNull(), whole).otherwise(F.array_join(F.col("_made")["text"], ""))
+    )
+    if count:
+        total = F.aggregate(F.col("_made")["n"], F.lit(0), lambda acc, n: acc + n)
+        result = result.withColumn(count, F.coalesce(total, F.lit(0)))
+    return result.withColumn(out, F.col("_text")).drop("_maps", "_made", "_text")

@@ -46,6 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for work that is heavy per byte: every core, or more if the session says so."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def new_table_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corpusveil/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -53,7 +62,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     (checkpoint() would compute it twice).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corpusveil/{label}-{uuid.uuid4().hex}"
+    path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corpusveil.operators import literals as L
 from corpusveil.operators import sanitize as S
+from corpusveil.session import materialize
 
 
 def read_dictionary(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -45,6 +46,7 @@ def clean_batch(
     spark = batch.sparkSession
     staged = S.before_mask(batch, id_cols, col, mappings, options, lang)
     if options.mask_strings:
+        staged = materialize(staged, "renamed")
         keys = list(dict.fromkeys([*id_cols, *order]))
         found = L.extract_literals(staged, keys, col, lang)
         dictionary = extend_dictionary(spark, found, [*order, "pos"], dictionary_path, batch_id)
