@@ -63,10 +63,15 @@ def collect_dictionary(df: DataFrame, key: str, value: str):
     if size.n > INLINE_MAX_ENTRIES or size.chars > INLINE_MAX_CHARS:
         return None
     rows = entries.collect()
-    n = max(1, len(rows) // 4)
+    return bucket_lookup([(r.k, r.v, r.h) for r in rows])
+
+
+def bucket_lookup(entries: list[tuple[str, str, int]]):
+    """Lookup function over (key, value, xxhash64 of the key) entries, as one plan literal."""
+    n = max(1, len(entries) // 4)
     buckets: list[dict[str, str]] = [{} for _ in range(n)]
-    for r in rows:
-        buckets[r.h % n][r.k] = r.v
+    for key, value, code in entries:
+        buckets[code % n][key] = value
     stored = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
 
     def lookup(word: Column) -> Column:

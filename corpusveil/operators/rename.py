@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
-from corpusveil.functions.columns import collect_dictionary, is_match, let, pieces, replace_matches
+from corpusveil.functions.columns import bucket_lookup, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
 from corpusveil.plans.joins import dictionary_join, substitute
 from corpusveil.session import materialize, parallelism
 
 INLINE_LITERALS = 600
+INLINE_LITERAL_CHARS = 1_000
 
 
 def literal_table(rules: DataFrame) -> DataFrame:
@@ -83,7 +84,6 @@ class InlineRename:
 
     pattern: str
     lookup: object
-    contested: bool
 
     def rename(self, text: Column) -> Column:
         return replace_matches(text, self.pattern, self._replacement)
@@ -124,25 +124,29 @@ class ContestedRename(InlineRename):
 
 def compile_inline(rules: DataFrame) -> InlineRename | None:
     """The in-plan rename for these rules, or None when they are too many."""
-    table = literal_table(rules)
-    rows = table.limit(INLINE_LITERALS + 1).collect()
-    if len(rows) > INLINE_LITERALS:
+    longest = INLINE_LITERAL_CHARS + 1
+    rows = (
+        literal_table(rules)
+        .select(
+            F.left("literal", F.lit(longest)).alias("literal"), "kind", F.left("replacement", F.lit(longest)).alias("replacement"),
+            "shapes", F.xxhash64("literal").alias("code"),
+        )
+        .limit(INLINE_LITERALS + 1)
+        .collect()
+    )
+    if len(rows) > INLINE_LITERALS or any(max(len(r.literal), len(r.replacement)) == longest for r in rows):
         return None
-    endings: dict[str, list[str]] = {}
-    for r in rows:
-        endings.setdefault(r.literal, []).extend(r.shapes)
-    if not endings:
-        return InlineRename(r"(?!)", lambda m: m, False)
-    pattern = _tree_pattern({lit: _condition(lit, shapes) for lit, shapes in endings.items()})
-    kinds: dict[str, set[str]] = {}
+    if not rows:
+        return InlineRename(r"(?!)", lambda m: m)
+    shapes: dict[str, list[str]] = {}
+    lookups: dict[str, list] = {"package": [], "variable": []}
     for r in rows:
-        kinds.setdefault(r.literal, set()).add(r.kind)
-    if any(len(k) > 1 for k in kinds.values()):
-        variable = collect_dictionary(table.where("kind = 'variable'"), "literal", "replacement")
-        package = collect_dictionary(table.where("kind = 'package'"), "literal", "replacement")
-        return ContestedRename(pattern, variable, True, package) if variable and package else None
-    lookup = collect_dictionary(table, "literal", "replacement")
-    return InlineRename(pattern, lookup, False) if lookup else None
+        shapes.setdefault(r.literal, []).extend(r.shapes)
+        lookups[r.kind].append((r.literal, r.replacement, r.code))
+    pattern = _tree_pattern({literal: _condition(literal, found) for literal, found in shapes.items()})
+    if len(shapes) < len(rows):
+        return ContestedRename(pattern, bucket_lookup(lookups["variable"]), bucket_lookup(lookups["package"]))
+    return InlineRename(pattern, bucket_lookup(lookups["package"] + lookups["variable"]))
 
 
 # --- many literals: rename the vocabulary ---------------------------------------------
