@@ -274,8 +274,8 @@ def oracle_sql() -> dict[str, str]:
     q.update({key: names_query(expr) for key, expr in plain.items()})
 
     q["s1_read_sources"] = f"WITH {Q.JAVA_FILES} SELECT 'all' AS project, project || '/' || path AS path, 'spring' AS lang, text, false AS bad_utf8, 0::INT AS n_replaced FROM jf"
-    q["s2_read_mappings"] = f"""WITH {Q.MAPPINGS} SELECT set_id, kind, (row_number() OVER (PARTITION BY set_id, kind ORDER BY ord) - 1)::INT AS ord,
-      frm AS "from", dst AS "to" FROM mp"""
+    q["s2_read_mappings"] = f"""WITH {Q.MAPPINGS}, small AS (SELECT set_id || '-' || (ord // 1000) AS set_id, kind, ord, frm, dst FROM mp)
+      SELECT set_id, kind, (row_number() OVER (PARTITION BY set_id, kind ORDER BY ord) - 1)::INT AS ord, frm AS "from", dst AS "to" FROM small"""
     q["s3_mappings_from_pairs"] = """SELECT 'cli' AS set_id, 'variable' AS kind, p_partkey::INT AS ord, p_name AS "from", p_brand || '=' || p_type AS "to" FROM part"""
     q["s4_write_mappings"] = f"""WITH {Q.MAPPINGS}, {PAGE_DICT} SELECT kind, frm AS a, dst AS b FROM mp UNION ALL SELECT 'literal', token, literal FROM dict"""
     both = f"{Q.JAVA_FILES}, {Q.REACT_FILES.replace(Q.PARTS + ',', '')}"

@@ -72,12 +72,19 @@ def s1_read_sources(spark, sf_dir):
     return SF.read_sources(spark, root, v.SPRING, "all").select("project", "path", "lang", "text", "bad_utf8", "n_replaced")
 
 
-def _mapping_docs(spark, sf_dir) -> DataFrame:
-    return SM.mapping_documents(C.mappings(spark, sf_dir), None, v.SPRING)
+SET_SIZE = 1000
+
+
+def _small_sets(spark, sf_dir) -> DataFrame:
+    """The mappings of the data in sets of at most SET_SIZE pairs per kind: more data means
+    more sets, not larger documents."""
+    part = F.floor(F.col("ord") / SET_SIZE).cast("string")
+    return C.mappings(spark, sf_dir).withColumn("set_id", F.concat_ws("-", "set_id", part))
 
 
 def s2_read_mappings(spark, sf_dir):
-    return SM.pairs_of(SM.parse_mappings(_mapping_docs(spark, sf_dir)))
+    docs = SM.mapping_documents(_small_sets(spark, sf_dir), None, v.SPRING)
+    return SM.pairs_of(SM.parse_mappings(docs))
 
 
 def s3_mappings_from_pairs(spark, sf_dir):
@@ -86,18 +93,15 @@ def s3_mappings_from_pairs(spark, sf_dir):
 
 
 def s4_write_mappings(spark, sf_dir):
-    maps = C.mappings(spark, sf_dir)
-    lits = _page_dictionary(spark, sf_dir).withColumn("set_id", F.lit("com"))
+    """Written sets read back: all pairs and all literals."""
+    part = F.floor(F.col("idx") / SET_SIZE).cast("string")
+    lits = _page_dictionary(spark, sf_dir).withColumn("set_id", F.concat(F.lit("pages-"), part))
     path = _folder(spark, "mapping")
-    SM.write_mappings(maps, lits, v.SPRING, path)
+    SM.write_mappings(_small_sets(spark, sf_dir), lits, v.SPRING, path)
     docs = spark.read.text(path).select(F.lit("").alias("set_id"), F.col("value").alias("doc"))
     parsed = SM.parse_mappings(docs)
-    pairs = SM.pairs_of(parsed).select("kind", "ord", F.col("from").alias("a"), F.col("to").alias("b"))
-    stored = SM.literals_of(parsed).select(
-        F.lit("literal").alias("kind"), F.col("idx").cast("int").alias("ord"), F.col("token").alias("a"), F.col("literal").alias("b")
-    )
-    # positions in a document are dense, so a pair's place is its rank in its set
-    return pairs.select("kind", "a", "b").unionByName(stored.select("kind", "a", "b"))
+    pairs = SM.pairs_of(parsed).select("kind", F.col("from").alias("a"), F.col("to").alias("b"))
+    return pairs.unionByName(SM.literals_of(parsed).select(F.lit("literal").alias("kind"), F.col("token").alias("a"), F.col("literal").alias("b")))
 
 
 def s5_write_clean(spark, sf_dir):

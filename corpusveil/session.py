@@ -67,11 +67,6 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when df has at most max_rows rows; never counts further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def number_rows(df: DataFrame, order: list, column: str, start: int = 0) -> DataFrame:
     """Number all rows densely from `start` in the given total order, without one task
     seeing them all: range sort, position within partition, partition offsets.

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusveil import values as v
 from corpusveil.operators.literals import with_index
-from corpusveil.session import is_bounded
 
-JSON_MAX_ENTRIES = 1_000_000
+JSON_MAX_ENTRIES = 100_000
 PAIRS = "set_id string, kind string, ord int, `from` string, `to` string"
 
 
@@ -87,7 +86,8 @@ def append_pairs(mappings: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def mapping_documents(mappings: DataFrame, literals: DataFrame | None, language: str) -> DataFrame:
-    """(set_id, doc): one JSON document per set with all pairs in order and all literals."""
+    """(set_id, doc): one JSON document per set with all pairs in order and all literals. A
+    set is gathered in one row: for sets of checked size, see write_mappings."""
     def side(kind: str) -> DataFrame:
         rows = mappings.where(F.col("kind") == kind)
         return rows.groupBy("set_id").agg(
@@ -127,12 +127,17 @@ def mapping_documents(mappings: DataFrame, literals: DataFrame | None, language:
     )
 
 
+def _largest_set(df: DataFrame) -> int:
+    sizes = df.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def write_mappings(mappings: DataFrame, literals: DataFrame | None, language: str, path: str) -> None:
-    """Mapping sets as JSON documents, one per line. A document is one row, so the whole is
-    checked against a bound first; larger sets go to write_mapping_tables."""
+    """Mapping sets as JSON documents, one per line. A document is one row, so the size of
+    every set is checked first; with larger sets use write_mapping_tables."""
     for part in [mappings, literals] if literals is not None else [mappings]:
-        if not is_bounded(part, JSON_MAX_ENTRIES):
-            raise ValueError("too many entries for JSON documents: use write_mapping_tables")
+        if _largest_set(part) > JSON_MAX_ENTRIES:
+            raise ValueError("a set has too many entries for one JSON document: use write_mapping_tables")
     mapping_documents(mappings, literals, language).select("doc").write.mode("overwrite").text(path)
 
 
