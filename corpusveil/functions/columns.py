@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
-INLINE_MAX_ENTRIES = 10_000
+INLINE_MAX_ENTRIES = 20_000
 INLINE_MAX_CHARS = 1_000_000
 
 

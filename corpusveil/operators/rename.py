@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
-from corpusveil.functions.columns import bucket_lookup, is_match, let, pieces, replace_matches
+from corpusveil.functions.columns import bucket_lookup, collect_dictionary, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
 from corpusveil.plans.joins import dictionary_join, substitute
 from corpusveil.session import materialize, parallelism
@@ -274,8 +274,24 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
     return Vocabulary(cls + "++", materialize(renamed, "vocabulary"))
 
 
+def _by_vocabulary(df: DataFrame, id_cols: list[str], col: str, out: str, count: str | None, voc: Vocabulary) -> DataFrame:
+    """Rebuild texts from renamed words: within the plan while the changing words are few
+    (checked), by a join beyond that."""
+    lookup = collect_dictionary(voc.words, "word", "renamed")
+    if lookup is None:
+        return _by_word(df, id_cols, col, out, count, voc)
+    text = replace_matches(F.col(col), voc.word_pattern, lambda w: F.coalesce(lookup(w), w))
+    if count:
+        number = collect_dictionary(voc.words.withColumn("n", F.col("n").cast("string")), "word", "n")
+        found = F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))
+        total = F.aggregate(found, F.lit(0), lambda acc, w: acc + F.coalesce(number(w).cast("int"), F.lit(0)))
+        df = df.withColumn("_n", total)
+    df = df.withColumn(out, text)
+    return df.withColumnRenamed("_n", count) if count else df
+
+
 def _by_word(df: DataFrame, id_cols: list[str], col: str, out: str, count: str | None, voc: Vocabulary) -> DataFrame:
-    """Rebuild texts from renamed words."""
+    """As _by_vocabulary, with the words joined."""
     parts = F.transform(
         pieces(F.col(col), voc.word_pattern),
         lambda p, i: F.struct(p.alias("text"), F.when(is_match(i), p).alias("key")),
@@ -298,14 +314,14 @@ def rename_text(
         source = F.col(col)
         df = df.withColumn(count, inline.count(source)) if count else df
         return df.withColumn(out, inline.rename(source))
-    return _by_word(df, id_cols, col, out, count, build_vocabulary(df, col, rules))
+    return _by_vocabulary(df, id_cols, col, out, count, build_vocabulary(df, col, rules))
 
 
 def count_substitutions(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str) -> DataFrame:
     inline = compile_inline(rules)
     if inline:
         return df.withColumn(out, inline.count(F.col(col)))
-    return _by_word(df, id_cols, col, "_renamed", out, build_vocabulary(df, col, rules)).drop("_renamed")
+    return _by_vocabulary(df, id_cols, col, "_renamed", out, build_vocabulary(df, col, rules)).drop("_renamed")
 
 
 def substitution_report(df: DataFrame, col: str, rules: DataFrame) -> DataFrame:
