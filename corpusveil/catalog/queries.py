@@ -329,7 +329,7 @@ def w2_count_substitutions(spark, sf_dir):
 
 
 def w3_substitution_report(spark, sf_dir):
-    return W.substitution_report(_documents(spark, sf_dir), "text", R.content_rules(_text_maps(spark)))
+    return W.substitution_report(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)))
 
 
 def w3_substitutions_by_source(spark, sf_dir):

@@ -154,7 +154,7 @@ def compile_inline(rules: DataFrame) -> InlineRename | None:
 
 @dataclass
 class Vocabulary:
-    """Distinct words of a corpus that change: word, renamed, n (substitutions in it)."""
+    """Distinct words of a corpus that change: word, renamed, n (substitutions in it), forms (what they replace)."""
 
     word_pattern: str
     words: DataFrame
@@ -260,16 +260,17 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
                 (h["at"] + h["hit"]["len"]).alias("end"),
                 F.concat(acc["out"], gap, h["hit"]["new"]).alias("out"),
                 (acc["n"] + 1).alias("n"),
+                F.concat(acc["forms"], F.array(F.substr(F.col("word"), h["at"] + 1, h["hit"]["len"]))).alias("forms"),
             ),
         ).otherwise(acc)
 
-    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("forms"))
     # a group is one word: it has no more hits than characters
     folded = winners.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "hit"))).alias("hits")).select(
         "word", F.aggregate("hits", start, take).alias("r")
     )
     renamed = folded.select(
-        "word", F.concat(F.col("r.out"), F.substr("word", F.col("r.end") + 1)).alias("renamed"), F.col("r.n").alias("n")
+        "word", F.concat(F.col("r.out"), F.substr("word", F.col("r.end") + 1)).alias("renamed"), F.col("r.n").alias("n"), "r.forms"
     )
     return Vocabulary(cls + "++", materialize(renamed, "vocabulary"))
 
@@ -324,22 +325,23 @@ def count_substitutions(df: DataFrame, id_cols: list[str], col: str, rules: Data
     return _by_vocabulary(df, id_cols, col, "_renamed", out, build_vocabulary(df, col, rules)).drop("_renamed")
 
 
-def substitution_report(df: DataFrame, col: str, rules: DataFrame) -> DataFrame:
+def substitution_report(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame) -> DataFrame:
     """Per matched form: occurrences and texts it occurs in, over the whole table."""
     inline = compile_inline(rules)
-    if inline is None:
-        raise ValueError(f"the report lists the forms of at most {INLINE_LITERALS} literals")
-    # count inside each text first: one row per text and form instead of one per hit
-    per_text = df.select(inline.matches(F.col(col)).alias("_hits")).select(
-        F.explode(F.array_distinct("_hits")).alias("form"), "_hits"
-    )
-    return (
-        per_text.select(
+    if inline:
+        # count inside each text first: one row per text and form instead of one per hit
+        hits = df.select(inline.matches(F.col(col)).alias("_hits"))
+        per_text = hits.select(F.explode(F.array_distinct("_hits")).alias("form"), "_hits").select(
             "form", F.size(F.filter("_hits", lambda h: h == F.col("form"))).alias("_n")
         )
-        .groupBy("form")
-        .agg(F.sum("_n").alias("n_hits"), F.count(F.lit(1)).alias("n_texts"))
-    )
+    else:
+        voc = build_vocabulary(df, col, rules)
+        found = df.select(*id_cols, F.explode(F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))).alias("word"))
+        hits = dictionary_join(found, voc.words.select("word", "forms"), ["word"], id_cols)
+        per_text = (
+            hits.select(*id_cols, F.explode_outer("forms").alias("form")).groupBy(*id_cols, "form").agg(F.count(F.lit(1)).alias("_n"))
+        )
+    return per_text.groupBy("form").agg(F.sum("_n").alias("n_hits"), F.count(F.lit(1)).alias("n_texts"))
 
 
 def rename_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, lang: str, out: str) -> DataFrame:
