@@ -141,7 +141,8 @@ def with_forms(df: DataFrame, col: str, out: str = "forms") -> DataFrame:
 
 def with_form_set(df: DataFrame, col: str, out: str) -> DataFrame:
     """df with one row per distinct form of df[col]."""
-    return with_forms(df, col, "_f").select(*df.columns, F.explode(F.col("_f")["form"]).alias(out))
+    exploded = with_forms(df, col, "_f").select(*df.columns, F.explode_outer("_f").alias("_one"))
+    return exploded.where(F.col("_one").isNotNull()).select(*df.columns, F.col("_one")["form"].alias(out))
 
 
 def name_forms(df: DataFrame, col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusveil import values as v
 from corpusveil.functions import names
-from corpusveil.session import number_rows
+from corpusveil.session import materialize, number_rows
 
 RULE_ORDER = ["kind", "ord", "form_pos", "shape_pos"]  # 'package' sorts before 'variable'
 
@@ -251,11 +251,12 @@ def package_cascades(mappings: DataFrame) -> DataFrame:
 
 def variable_overlaps(mappings: DataFrame) -> DataFrame:
     """Target names that share forms with another pair's source name, with the shared forms."""
-    pairs = valid_pairs(mappings).where(F.col("kind") == "variable")
+    # stored: the pairs are read six times, and the forms are costly to compute twice
+    pairs = materialize(valid_pairs(mappings).where(F.col("kind") == "variable").select("set_id", "from", "to"), "pairs")
     sources = pairs.select("set_id", F.col("from").alias("source")).distinct()
     targets = pairs.select("set_id", F.col("to").alias("target")).distinct()
-    source_forms = names.with_form_set(sources, "source", "form")
-    target_forms = names.with_form_set(targets, "target", "form")
+    source_forms = materialize(names.with_form_set(sources, "source", "form"), "forms")
+    target_forms = materialize(names.with_form_set(targets, "target", "form"), "forms")
     shared = (
         target_forms.join(source_forms, ["set_id", "form"])
         .groupBy("set_id", "target", "source")
