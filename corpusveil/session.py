@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, as --py-files would, for
+    sessions that were started without it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="corpusveil-")) / "corpusveil.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _shipped.add(app)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks for work that is heavy per byte: every core, or more if the session says so."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

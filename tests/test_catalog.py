@@ -12,7 +12,9 @@ import __spark_entry__ as contract  # noqa: E402
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from corpusveil.catalog import oracles, queries  # noqa: E402
+
+QUERIES, ORACLES = queries.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -45,5 +47,9 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_contract_holds_the_catalog():
+    assert set(QUERIES) <= set(contract.queries()) and ORACLES.items() <= contract.oracle_sql().items()
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
