@@ -139,17 +139,18 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         uniq.select("lid", "doc_id", "row", "pos").join(gone, "lid", "left_anti").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
         .agg(F.collect_list("pos").alias("_kept"))
     )
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     whole = df.withColumn("_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
-    blanks = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: blank(F.element_at(parts, i + 1)))
-    stay = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blanks))
-    rebuilt = F.when(
-        F.col(text_col).isNotNull(),
-        F.when(F.col("_kept").isNull(), F.lit("")).otherwise(let(parts, lambda ps: F.array_join(F.transform(stay, lambda i: F.element_at(ps, i + 1)), "\n"))),
-    )
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: ~blank(x))))
+
+    def made(parts: Column, flags: Column) -> Column:
+        blanks = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.element_at(flags, i + 1))
+        text = F.array_join(F.transform(F.array_sort(F.concat("_kept", blanks)), lambda i: F.element_at(parts, i + 1)), "\n")
+        return F.struct(F.when(F.col("_kept").isNull(), "").otherwise(text).alias("text"), F.size(F.filter(flags, lambda x: ~x)).alias("n"))
+
+    # the lines and their flags are worked out once for a text
+    rebuilt = let(F.split(F.col(text_col).cast("string"), "\n", -1), lambda ps: let(F.transform(ps, blank), lambda flags: made(ps, flags)))
+    whole = whole.withColumn("_made", F.when(F.col(text_col).isNotNull(), rebuilt))
     columns = [c for c in df.columns if c not in ("n_lines", "n_kept")]
     return whole.select(
-        *[rebuilt.alias(c) if c == text_col else F.col(c) for c in columns],
-        n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint").alias("n_kept"),
+        *[F.col("_made")["text"].alias(c) if c == text_col else F.col(c) for c in columns],
+        F.coalesce(F.col("_made")["n"], F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint").alias("n_kept"),
     )
