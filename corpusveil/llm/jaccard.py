@@ -26,6 +26,8 @@ CELLS = 1 << 17
 #: Tokens in which the heads of two linked sets must agree.
 HITS = 3
 _SLICE = 1024
+#: Pairs whose sets a task holds at once.
+PAIRS = 256
 _SEED = np.uint64(0x5BD1E995)
 
 
@@ -46,11 +48,15 @@ def _profile(size: int):
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            n, sig, cells = [], [], []
+            n, sig, cells, held = [], [], [], 0
             for tokens in shingle_sets(batch.column(1), size):
                 n.append(len(tokens))
                 sig.append(_signature(tokens))
                 cells.append((tokens & np.uint64(CELLS - 1)).astype(np.int64))
+                held += len(tokens)
+                if held > 1_000_000:
+                    counts += np.bincount(np.concatenate(cells), minlength=CELLS)
+                    cells, held = [], 0
             counts += np.bincount(np.concatenate(cells), minlength=CELLS) if cells else 0
             sig = np.array(sig, np.int64).reshape(-1, 2)
             rows = len(n)
@@ -97,7 +103,7 @@ def _verified(size: int, percent: int):
     """Batches of (a, b, text_a, text_b) -> the pairs (a, b) that link."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, PAIRS) for whole in batches for k in range(0, whole.num_rows, PAIRS)):
             known: dict[int, np.ndarray] = {}
             for ids, texts in ((0, 2), (1, 3)):
                 keys, place = np.unique(batch.column(ids).to_numpy(), return_index=True)

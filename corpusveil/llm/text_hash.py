@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes whose power table is kept; a longer word is hashed by itself.
 BLOCK = 1 << 20
@@ -84,9 +85,31 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
+#: Bytes of text hashed at once.
+PART = 2_000_000
+
+
+def parts(column: pa.Array):
+    """Slices of the column of some PART bytes each, a longer row by itself."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    low, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > low and held + size > PART:
+            yield column.slice(low, i - low)
+            low, held = i, 0
+        held += size
+    if low < len(column):
+        yield column.slice(low)
+
+
 def shingle_sets(column: pa.Array, size: int):
     """For each row its distinct word shingles as ascending uint64 hashes. A row with fewer
     words has its whole word sequence as one shingle; a row without words has none."""
+    for part in parts(column):
+        yield from _shingle_sets(part, size)
+
+
+def _shingle_sets(column: pa.Array, size: int):
     hashes, first = words(column)
     runs = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
     for k in range(size):
