@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusveil.llm.text_hash import parts
 from corpusveil.session import materialize, number_rows
 
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBER = 400_000
+REMEMBER = 300_000
 
 
 class OpenBins:
@@ -130,7 +131,7 @@ _remembered: dict[str, bytes] = {}
 
 def token_ids(path: str, closing: int):
     """Batches of (doc_id, text) -> (doc_id, ids): little-endian 32-bit ids of the tokenizer
-    file, without special tokens, and the closing id. Words are encoded once per worker."""
+    file, without special tokens, and the closing id. A worker remembers the ids of words."""
 
     def run(batches):
         from tokenizers import Tokenizer
@@ -138,28 +139,43 @@ def token_ids(path: str, closing: int):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         last = np.array([closing], "<u4").tobytes()
+        vocabulary, mark = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None) or "</w>"
+        word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        word_end[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
 
         def direct(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        for batch in batches:
+        def learn(words: set[str]) -> None:
+            fresh = list(words.difference(_remembered))
+            if len(_remembered) + len(fresh) > REMEMBER:
+                _remembered.clear()
+                fresh = list(words)
+            groups = [fresh[k : k + 256] for k in range(0, len(fresh), 256)]
+            for group, ids in zip(groups, direct([" ".join(g) for g in groups])):
+                stops = np.flatnonzero(word_end[np.frombuffer(ids, "<u4")]) + 1
+                if len(stops) != len(group):
+                    _remembered.update(zip(group, direct(group)))
+                    continue
+                at = 0
+                for word, stop in zip(group, (4 * stops).tolist()):
+                    _remembered[word] = ids[at:stop]
+                    at = stop
+
+        def encoded(texts: list[str]) -> list[bytes]:
+            found = [_WORDS.findall(t.lower()) if t and _PLAIN.fullmatch(t) else None for t in texts]
+            learn(set().union(*(f for f in found if f)))
             out = []
-            for text in batch.column(1).to_pylist():
-                if not text:
-                    out.append(last)
-                elif _PLAIN.fullmatch(text):
-                    found = _WORDS.findall(text.lower())
-                    fresh = list(set(found).difference(_remembered))
-                    if fresh:
-                        if len(_remembered) + len(fresh) > REMEMBER:
-                            _remembered.clear()
-                            fresh = list(set(found))
-                        for k in range(0, len(fresh), 4096):
-                            _remembered.update(zip(fresh[k : k + 4096], direct(fresh[k : k + 4096])))
-                    out.append(b"".join(map(_remembered.__getitem__, found)) + last)
-                else:
-                    out.append(direct([text])[0] + last)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for text, words in zip(texts, found):
+                ids = b"".join(map(_remembered.__getitem__, words)) if words is not None else direct([text])[0] if text else b""
+                out.append(ids + last)
+            return out
+
+        for batch in batches:
+            low = 0
+            for part in parts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(part)), pa.array(encoded(part.to_pylist()), pa.binary())], ["doc_id", "ids"])
+                low += len(part)
 
     return run
 
