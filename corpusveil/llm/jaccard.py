@@ -21,11 +21,12 @@ from corpusveil.llm.text_hash import mix, shingle_sets
 from corpusveil.session import materialize
 
 #: Cells of the token frequency sketch. It only sets the order of tokens, so its size changes
-#: speed, never results; its broadcast is 8 bytes a cell.
-CELLS = 1 << 17
+#: speed, never results: the more cells, the fewer common tokens in a head. Its broadcast is 8
+#: bytes a cell.
+CELLS = 1 << 20
 #: Tokens in which the heads of two linked sets must agree.
 HITS = 3
-_SLICE = 1024
+_SLICE = 4096
 #: Pairs whose sets a task holds at once.
 PAIRS = 256
 _SEED = np.uint64(0x5BD1E995)
@@ -54,7 +55,7 @@ def _profile(size: int):
                 sig.append(_signature(tokens))
                 cells.append((tokens & np.uint64(CELLS - 1)).astype(np.int64))
                 held += len(tokens)
-                if held > 1_000_000:
+                if held > CELLS:
                     counts += np.bincount(np.concatenate(cells), minlength=CELLS)
                     cells, held = [], 0
             counts += np.bincount(np.concatenate(cells), minlength=CELLS) if cells else 0
@@ -62,7 +63,7 @@ def _profile(size: int):
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))],
+                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int32()))],
                 ["doc_id", "n", "node", "check", "slice", "counts"],
             )
         taken = [i for i in range(CELLS // _SLICE) if counts[i * _SLICE : (i + 1) * _SLICE].any()]
@@ -70,7 +71,7 @@ def _profile(size: int):
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(rows, pa.int64())] * 4
-                + [pa.array(taken, pa.int32()), pa.array([counts[i * _SLICE : (i + 1) * _SLICE] for i in taken], pa.list_(pa.int64()))],
+                + [pa.array(taken, pa.int32()), pa.array([np.minimum(counts[i * _SLICE : (i + 1) * _SLICE], 2**31 - 1) for i in taken], pa.list_(pa.int32()))],
                 ["doc_id", "n", "node", "check", "slice", "counts"],
             )
 
@@ -173,7 +174,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = materialize(
-        docs.mapInArrow(_profile(size), "doc_id bigint, n bigint, node bigint, check bigint, slice int, counts array<bigint>"), "profile"
+        docs.mapInArrow(_profile(size), "doc_id bigint, n bigint, node bigint, check bigint, slice int, counts array<int>"), "profile"
     )
     sets = scanned.where("slice is null").select("doc_id", "n", "node", "check")
     reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("node", "n", "check").agg(F.min("doc_id").alias("doc_id")), "classes")
