@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusveil.session import materialize
+from corpusveil.session import materialize, ship_package
+
+#: Rows of an Arrow batch; Spark's default of 10,000 is meant for rows without texts.
+ARROW_ROWS = 1000
 
 #: Slots of the filter that is broadcast before a large table is shuffled: at most so many longs.
 SLOTS = 1 << 20
 
 
+def prepare(spark: SparkSession) -> None:
+    """Package on the executors, and Arrow batches that fit a worker's memory with whole texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def only_keys(df: DataFrame, key: str, keys: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows of df whose key may be among `keys` (a column of the same name): all that are,
     and a few others whose hash falls in a taken slot. The broadcast side holds one long for

@@ -9,6 +9,7 @@ find their place by their position in the order by length, so no task sees all o
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from corpusveil.llm.text_hash import parts
 from corpusveil.session import materialize, number_rows
 
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 class OpenBins:
@@ -129,19 +130,26 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^ \t\
 _remembered: dict[str, bytes] = {}
 
 
+@lru_cache(1)
+def _tokenizer(path: str):
+    """The tokenizer file, and which ids end a word."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    vocabulary, mark = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None) or "</w>"
+    word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+    word_end[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+    return tokenizer, word_end
+
+
 def token_ids(path: str, closing: int):
     """Batches of (doc_id, text) -> (doc_id, ids): little-endian 32-bit ids of the tokenizer
     file, without special tokens, and the closing id. A worker remembers the ids of words."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer, word_end = _tokenizer(path)
         last = np.array([closing], "<u4").tobytes()
-        vocabulary, mark = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None) or "</w>"
-        word_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        word_end[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
 
         def direct(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

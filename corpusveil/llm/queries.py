@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from corpusveil.llm import bpe, chat, fingerprints, jaccard, langid, lines, packing, pii, topk, warc
-from corpusveil.session import ship_package
+from corpusveil.llm.frames import prepare
 
 CAPACITY = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
