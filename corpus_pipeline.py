@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusveil.llm import jaccard, langid, lines, packing, pii
+from corpusveil.llm.frames import prepare
 from corpusveil.llm.queries import CAPACITY, table
-from corpusveil.session import materialize, ship_package
+from corpusveil.session import materialize
 
 #: A text goes if less than this share of its letters is in its main language.
 LEAST_SHARE = 0.5
@@ -54,7 +55,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _shipped(stage: Callable) -> Callable:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
 
     return run
