@@ -312,6 +312,11 @@ def w1_rename_text(spark, sf_dir):
     return W.rename_text(_documents(spark, sf_dir), ["doc_id"], "text", rules)
 
 
+def w1_rename_text_join(spark, sf_dir):
+    """The way for any number of rules."""
+    return W.rename_text(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)), join=True)
+
+
 def w1_rename_conversations(spark, sf_dir):
     turns = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return W.rename_text(turns, ["conv_id", "turn"], "text", R.content_rules(_text_maps(spark)))
@@ -454,6 +459,17 @@ def l4_unmask_literals(spark, sf_dir):
     return L.unmask_literals(masked, ["page_id"], "text", dictionary, count="n_restored")
 
 
+def l3_mask_literals_join(spark, sf_dir):
+    """The way for dictionaries of any size."""
+    return L.mask_literals(_pages(spark, sf_dir), ["page_id"], "text", v.SPRING, _page_dictionary(spark, sf_dir), join=True)
+
+
+def l4_unmask_literals_join(spark, sf_dir):
+    dictionary = materialize(_page_dictionary(spark, sf_dir), "dictionary")
+    masked = L.mask_literals(_pages(spark, sf_dir), ["page_id"], "text", v.SPRING, dictionary)
+    return L.unmask_literals(masked, ["page_id"], "text", dictionary, count="n_restored", join=True)
+
+
 # --- reversal, audits, bundles, incremental ------------------------------------------------------------
 
 
@@ -593,11 +609,11 @@ def queries() -> dict[str, Query]:
         g6_trace_closure, g6_trace_closure_react, g7_checklist, g7_checklist_summary, n8_match_case,
         r1_expand_forms, r2_expand_rules, r3_package_rules, r4_path_rules, r5_rank_rules, r6_self_maps, r6_duplicates,
         r6_package_cascades, r7_variable_overlaps, r7_validate_mappings, r8_invert_mappings, r9_mapping_fingerprint,
-        w1_rename_text, w1_rename_conversations, w1_rename_many_rules, w2_count_substitutions, w3_substitution_report,
+        w1_rename_text, w1_rename_text_join, w1_rename_conversations, w1_rename_many_rules, w2_count_substitutions, w3_substitution_report,
         w3_substitutions_by_source, w4_rename_path, w4_java_output_path, w5_strip_comments_java, w6_strip_comments_react,
         w7_strip_doc_tags, w8_strip_loggers_java, w9_strip_loggers_react, w10_sanitize, w10_sanitize_pages, w10_sanitize_react,
         l0_segments, l1_extract_literals, l1_extract_event_props, l1_extract_literals_react, l2_build_dictionary,
-        l2_seeded_dictionary, l3_mask_literals, l3_mask_literals_react, l4_unmask_literals,
+        l2_seeded_dictionary, l3_mask_literals, l3_mask_literals_join, l3_mask_literals_react, l4_unmask_literals, l4_unmask_literals_join,
         v1_reverse_text, v2_leftover_tokens, v3_rename_plan, v3_collisions, v4_reversal_summary, v5_pending_reversals,
         a1_leak_audit, a1_leak_audit_clean, a2_round_trip_audit, b1_bundles, b1_bundles_react, b2_extraction_plan,
         i1_sanitize_stream, u1_profiles,

@@ -86,13 +86,14 @@ def _mask_parts(parts: Column, lookup) -> Column:
 
 
 def mask_literals(
-    df: DataFrame, id_cols: list[str], col: str, lang: Column | str, dictionary: DataFrame, out: str | None = None
+    df: DataFrame, id_cols: list[str], col: str, lang: Column | str, dictionary: DataFrame, out: str | None = None, join: bool = False
 ) -> DataFrame:
-    """Replace each literal by its token in the same quotes."""
+    """Replace each literal by its token in the same quotes. A small dictionary stands in the
+    plan; a larger one is joined, as any is with `join`."""
     out = out or col
     tokens = _by_literal(dictionary)
     parts = by_lang(lang, "literals", F.col(col))
-    lookup = collect_dictionary(tokens, "literal", "token")
+    lookup = None if join else collect_dictionary(tokens, "literal", "token")
     if lookup:
         return df.withColumn(out, _mask_parts(parts, lookup))
     keyed = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["literal"].alias("key")))
@@ -114,13 +115,13 @@ def _unmask(text: Column, lookup) -> tuple[Column, Column]:
 
 
 def unmask_literals(
-    df: DataFrame, id_cols: list[str], col: str, dictionary: DataFrame, out: str | None = None, count: str | None = None
+    df: DataFrame, id_cols: list[str], col: str, dictionary: DataFrame, out: str | None = None, count: str | None = None, join: bool = False
 ) -> DataFrame:
     """Put the stored literal back for every quoted token, whatever its quotes; unknown
     tokens stay. `count` receives the number of restored literals."""
     out = out or col
     known = dictionary.groupBy("token").agg(F.max("literal").alias("literal"))
-    lookup = collect_dictionary(known, "token", "literal")
+    lookup = None if join else collect_dictionary(known, "token", "literal")
     if lookup:
         text, hits = _unmask(F.col(col), lookup)
         result = df.withColumn("_text", text)

@@ -165,7 +165,7 @@ def _word_class(literals: DataFrame) -> str:
     at letters, digits and underscores only, so a word's edge acts like the text's edge."""
     others = (
         literals.select(F.explode(F.array_distinct(F.split("literal", ""))).alias("ch"))
-        .where(~F.rlike("ch", F.lit("^[A-Za-z0-9_]?$")))
+        .where(~F.rlike("ch", F.lit(r"\A[A-Za-z0-9_]?\z")))
         .distinct()
     )
     extra = "".join(sorted("\\" + r.ch if ord(r.ch) < 128 else r.ch for r in others.collect()))
@@ -275,15 +275,15 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
     return Vocabulary(cls + "++", materialize(renamed, "vocabulary"))
 
 
-def _by_vocabulary(df: DataFrame, id_cols: list[str], col: str, out: str, count: str | None, voc: Vocabulary) -> DataFrame:
+def _by_vocabulary(df: DataFrame, id_cols: list[str], col: str, out: str, count: str | None, voc: Vocabulary, join: bool = False) -> DataFrame:
     """Rebuild texts from renamed words: within the plan while the changing words are few
-    (checked), by a join beyond that."""
-    lookup = collect_dictionary(voc.words, "word", "renamed")
-    if lookup is None:
+    (checked), by a join beyond that or if asked for."""
+    lookup = None if join else collect_dictionary(voc.words, "word", "renamed")
+    number = lookup and count and collect_dictionary(voc.words.withColumn("n", F.col("n").cast("string")), "word", "n")
+    if lookup is None or (count and number is None):
         return _by_word(df, id_cols, col, out, count, voc)
     text = replace_matches(F.col(col), voc.word_pattern, lambda w: F.coalesce(lookup(w), w))
     if count:
-        number = collect_dictionary(voc.words.withColumn("n", F.col("n").cast("string")), "word", "n")
         found = F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))
         total = F.aggregate(found, F.lit(0), lambda acc, w: acc + F.coalesce(number(w).cast("int"), F.lit(0)))
         df = df.withColumn("_n", total)
@@ -305,17 +305,18 @@ def _by_word(df: DataFrame, id_cols: list[str], col: str, out: str, count: str |
 
 
 def rename_text(
-    df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str | None = None, count: str | None = None
+    df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str | None = None, count: str | None = None, join: bool = False
 ) -> DataFrame:
     """df with texts renamed in `out` (default: in place) and, when asked for, the number
-    of substitutions in `count`. Picks the way by the checked number of literals."""
+    of substitutions in `count`. Picks the way by the checked number of literals; `join`
+    takes the one for any number."""
     out = out or col
-    inline = compile_inline(rules)
+    inline = None if join else compile_inline(rules)
     if inline:
         source = F.col(col)
         df = df.withColumn(count, inline.count(source)) if count else df
         return df.withColumn(out, inline.rename(source))
-    return _by_vocabulary(df, id_cols, col, out, count, build_vocabulary(df, col, rules))
+    return _by_vocabulary(df, id_cols, col, out, count, build_vocabulary(df, col, rules), join)
 
 
 def count_substitutions(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str) -> DataFrame:

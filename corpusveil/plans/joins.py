@@ -69,7 +69,11 @@ def substitute(
     any size: a part whose key is known becomes render(text, value). `count` receives the
     sum of n over the replaced parts.
 
-    Texts are shuffled by id once; with a broadcast dictionary the lookup, both groupings
+    Rows are told apart by a hash of their ids and parts, never by ids alone: ids may be null
+    or repeated. Rows that share it (repeated rows, or a collision) share the entries that any
+    of them asked for, and an entry says the same in every text.
+
+    Texts are shuffled by that hash once; with a broadcast dictionary the lookup, both groupings
     and the way back to the text need no further shuffle. A text is looked up in chunks of CHUNK parts: a map lookup
     scans its keys, and so a long text costs no more per part than a short one.
     """
@@ -80,18 +84,17 @@ def substitute(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: body(i, F.slice(ps, i * CHUNK + 1, F.lit(CHUNK)))
         )
 
-    df = df.repartition(*id_cols)
+    row = ["_row"]
+    df = df.withColumn("_row", F.xxhash64(*id_cols, parts)).repartition("_row")
     wanted = let(parts, lambda ps: chunks(ps, lambda i, c: F.array_distinct(F.array_compact(c["key"]))))
-    found = df.select(*id_cols, F.posexplode(wanted).alias("_chunk", "_keys")).select(
-        *id_cols, "_chunk", F.explode("_keys").alias("key")
-    )
+    found = df.select(*row, F.posexplode(wanted).alias("_chunk", "_keys")).select(*row, "_chunk", F.explode("_keys").alias("key"))
     entry = F.struct("key", F.struct("value", "n").alias("v"))
-    hits = dictionary_join(found, dictionary.select("key", "value", "n"), ["key"], [*id_cols, "_chunk"])
+    hits = dictionary_join(found, dictionary.select("key", "value", "n"), ["key"], [*row, "_chunk"])
     # a group is a chunk, then a text
     per_text = (
-        hits.groupBy(*id_cols, "_chunk")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
-        .groupBy(*id_cols)
+        hits.groupBy(*row, "_chunk")
+        .agg(F.map_from_entries(F.collect_set(entry)).alias("_map"))
+        .groupBy(*row)
         .agg(F.map_from_entries(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
     )
 
@@ -105,7 +108,7 @@ def substitute(
 
         return let(F.element_at("_maps", i), lambda known: F.transform(chunk, lambda p: part(p, known)))
 
-    joined = df.join(per_text, id_cols, "left").withColumn(
+    joined = df.join(per_text, row, "left").withColumn(
         "_made", F.when(F.col("_maps").isNotNull(), F.flatten(let(parts, lambda ps: chunks(ps, replaced))))
     )
     whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
@@ -114,5 +117,5 @@ def substitute(
     )
     if count:
         total = F.aggregate(F.col("_made")["n"], F.lit(0), lambda acc, n: acc + n)
-        result = result.withColumn(count, F.coalesce(total, F.lit(0)))
-    return result.withColumn(out, F.col("_text")).drop("_maps", "_made", "_text")
+        result = result.withColumn(count, F.when(parts.isNotNull(), F.coalesce(total, F.lit(0))))
+    return result.withColumn(out, F.col("_text")).drop("_maps", "_made", "_text", "_row")
