@@ -9,6 +9,8 @@ from corpusveil.session import materialize, ship_package
 
 #: Rows of an Arrow batch; Spark's default of 10,000 is meant for rows without texts.
 ARROW_ROWS = 1000
+#: Bytes of an Arrow batch: a batch ends early where texts are long.
+ARROW_BYTES = 4 << 20
 
 #: Slots of the filter that is broadcast before a large table is shuffled: at most so many longs.
 SLOTS = 1 << 20
@@ -18,6 +20,7 @@ def prepare(spark: SparkSession) -> None:
     """Package on the executors, and Arrow batches that fit a worker's memory with whole texts."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def only_keys(df: DataFrame, key: str, keys: DataFrame, slots: int = SLOTS) -> DataFrame:

@@ -22,7 +22,7 @@ SLOTS = 1 << 16
 #: Cost of a change of language in nats; share of a language's letters that makes a script its own.
 SWITCH, OWN_SCRIPT, SMOOTHING = 8.0, 0.01, 0.5
 #: Characters scored at once.
-PART = 2_000_000
+PART = 1 << 18
 UNKNOWN = "und"
 #: First code point of letter ranges and their script.
 SCRIPTS = (

@@ -8,6 +8,7 @@ find their place by their position in the order by length, so no task sees all o
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from corpusveil.llm.text_hash import parts
 from corpusveil.session import materialize, number_rows
 
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 
 class OpenBins:
@@ -135,6 +136,8 @@ def _tokenizer(path: str):
     """The tokenizer file, and which ids end a word."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     vocabulary, mark = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None) or "</w>"
