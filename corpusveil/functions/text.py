@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.functions.columns import is_match, let, pieces
 
-TEMPLATE_DEPTH = 8
+TEMPLATE_DEPTH = 64
 
 
 def _template_pattern(depth: int) -> str:

@@ -1,16 +1,16 @@
-"""Reverse a returned corpus: ledger check, snapshot, texts, paths, summary, ledger."""
+"""Reverse a returned corpus: ledger check, snapshot, texts, paths, summary, files, ledger."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from corpusveil.operators import reverse as V
 from corpusveil.operators import rules as R
-from corpusveil.session import materialize
+from corpusveil.session import materialize, read_or_first
 from corpusveil.sources.files import snapshot
 
 
@@ -24,13 +24,6 @@ class Reversal:
     snapshot_path: str | None = None
 
 
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(V.LEDGER_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], V.LEDGER_SCHEMA)
-
-
 def restore(
     files: DataFrame,
     dataset_id: str,
@@ -41,24 +34,35 @@ def restore(
     snapshot_base: str | None = None,
     dry_run: bool = False,
     force: bool = False,
+    sink: Callable[[DataFrame], object] | None = None,
+    first_run: bool = False,
 ) -> Reversal:
-    """Reverse one dataset. A second run with the same mapping is refused unless forced; a
-    dry run computes everything and writes neither snapshot nor ledger."""
+    """Reverse one dataset and hand its files to `sink`, which writes them. Only then is the
+    ledger told: if the sink fails, the reversal may be tried again.
+
+    A second run with the same mapping is refused unless forced. A missing ledger is an error
+    unless `first_run` says that there is none yet. A dry run computes everything, needs no
+    sink and writes neither snapshot nor files nor ledger."""
+    if sink is None and not dry_run:
+        raise ValueError("a reversal needs a sink for its files")
     spark = files.sparkSession
     keyed = mappings.withColumn("set_id", F.lit(dataset_id))
     lits = None if dictionary is None else dictionary.withColumn("set_id", F.lit(dataset_id))
     batch = R.mapping_fingerprint(keyed, lits).withColumnRenamed("set_id", "dataset_id")
-    if V.pending_reversals(batch, _ledger(spark, ledger_path), force, dry_run).isEmpty():
+    # a dry or forced run asks the ledger nothing
+    ledger = read_or_first(spark, V.LEDGER_SCHEMA, ledger_path, first_run or dry_run or force)
+    if V.pending_reversals(batch, ledger, force, dry_run).isEmpty():
         return Reversal(refused=True)
     saved = snapshot(files, snapshot_base, dry_run=dry_run) if snapshot_base else None
     restored = materialize(V.reverse_text(files, ["project", "path"], "text", mappings, dictionary), "restored")
     plan = materialize(V.rename_plan(files, mappings, lang), "renames")
     left = V.leftovers(restored, ["project", "path"], "text", dictionary is not None)
     summary = V.reversal_summary(restored, plan)
+    moved = V.apply_plan(restored, plan)
     if not dry_run:
+        sink(moved)
         totals = summary.groupBy(F.lit(dataset_id).alias("dataset_id")).agg(
             F.sum("n_renamed").alias("renamed"), F.sum("n_changed").alias("changed")
         )
-        entry = batch.join(totals, "dataset_id")
-        V.append_ledger(entry, ledger_path)
-    return Reversal(False, V.apply_plan(restored, plan), plan, left, summary, saved)
+        V.append_ledger(batch.join(totals, "dataset_id"), ledger_path)
+    return Reversal(False, moved, plan, left, summary, saved)

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_or_first(spark: SparkSession, schema, path: str, first: bool) -> DataFrame:
+    """The stored table; where nothing is stored yet an empty one, but only if this is declared
+    to be the first run. A moved or mistyped path must not pass for a new beginning."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if not first or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def number_rows(df: DataFrame, order: list, column: str, start: int = 0) -> DataFrame:
     """Number all rows densely from `start` in the given total order, without one task
     seeing them all: range sort, position within partition, partition offsets.

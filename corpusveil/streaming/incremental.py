@@ -11,31 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from corpusveil.operators import literals as L
 from corpusveil.operators import sanitize as S
-from corpusveil.session import materialize
+from corpusveil.session import materialize, read_or_first
 
 
 def read_dictionary(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The stored dictionary; with `before`, as it was before that batch."""
+    """The stored dictionary; with `before`, as it was before that batch. Only before batch 0
+    may there be none: numbering must not start again because a path has moved."""
     schema = L.DICTIONARY_SCHEMA + ", batch_id BIGINT"
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return L.empty_dictionary(spark)
+    stored = read_or_first(spark, schema, path, before == 0)
     if before is not None:
         stored = stored.where(F.col("batch_id") < before)
     return stored.drop("batch_id")
 
 
 def extend_dictionary(spark: SparkSession, literals: DataFrame, order: list[str], path: str, batch_id: int) -> DataFrame:
+    """Store the literals that are new in this batch; the entries of all its literals."""
     known = read_dictionary(spark, path, batch_id)
     grown = L.build_dictionary(literals, order, known)
     fresh = grown.join(known.select("token"), "token", "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-    return read_dictionary(spark, path, batch_id + 1)
+    wanted = literals.select("literal").distinct()
+    return read_dictionary(spark, path, batch_id + 1).join(wanted, "literal", "left_semi")
 
 
 def clean_batch(

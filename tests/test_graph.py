@@ -140,14 +140,29 @@ def test_full_round_trip(spark, tmp_path, lang):
     clean = done.clean.drop("source_path").cache()
     assert A.leak_audit(clean, ["path"], "text", R.content_rules(maps)).collect() == []
     assert A.leak_audit(clean.withColumn("p", F.col("path")), ["path"], "p", R.path_rules(maps, lang)).collect() == []
-    back = Z.restore(clean, "d1", maps, done.dictionary, lang, str(tmp_path / "ledger"), str(tmp_path / "copy"))
+    ledger, out = str(tmp_path / "ledger"), str(tmp_path / "out")
+
+    def broken(files):
+        raise OSError("no space")
+
+    with pytest.raises(OSError):
+        Z.restore(clean, "d1", maps, done.dictionary, lang, ledger, sink=broken, first_run=True)
+    back = Z.restore(
+        clean, "d1", maps, done.dictionary, lang, ledger, str(tmp_path / "copy"), sink=lambda f: f.write.parquet(out), first_run=True
+    )
+    assert spark.read.parquet(out).count() == len(sources)
     assert not back.refused and back.leftovers.collect() == []
     assert A.round_trip_audit(files, back.files, ["project", "path"], "text").collect() == []
     total = back.summary.first()
     assert total.strings_restored > 0 and total.n_collisions == 0
     assert spark.read.parquet(back.snapshot_path).count() == len(sources)
-    assert Z.restore(clean, "d1", maps, done.dictionary, lang, str(tmp_path / "ledger")).refused
-    again = Z.restore(back.files, "d1", maps, done.dictionary, lang, str(tmp_path / "ledger"), force=True)
+    sink = lambda f: f.write.mode("overwrite").parquet(out)
+    assert Z.restore(clean, "d1", maps, done.dictionary, lang, ledger, sink=sink).refused
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        Z.restore(clean, "d1", maps, done.dictionary, lang, str(tmp_path / "elsewhere"), sink=sink)
+    with pytest.raises(ValueError):
+        Z.restore(clean, "d1", maps, done.dictionary, lang, ledger)
+    again = Z.restore(back.files, "d1", maps, done.dictionary, lang, ledger, force=True, sink=sink)
     assert again.summary.first().n_changed == 0
 
 
@@ -202,7 +217,7 @@ def test_reversal_of_a_returned_file(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     dry = Z.restore(files, "x", maps, d, "spring", ledger, str(tmp_path / "copy"), dry_run=True)
     assert dry.summary.first().n_changed == 1 and not (tmp_path / "ledger").exists() and dry.snapshot_path is None
-    back = Z.restore(files, "x", maps, d, "spring", ledger)
+    back = Z.restore(files, "x", maps, d, "spring", ledger, sink=lambda f: f.write.parquet(str(tmp_path / "out")), first_run=True)
     row = back.files.first()
     assert row.path == "orders/OrderServiceTest.java"
     assert "package com.myco.service;" in row.text and "Order myOrder; long orderId;" in row.text

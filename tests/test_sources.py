@@ -113,6 +113,8 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert got.count() == 40
     stored = I.read_dictionary(spark, dic)
     assert stored.exceptAll(d.select("token", "idx", "literal")).collect() == [] and stored.count() == d.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        I.read_dictionary(spark, dic + "-moved", 3)
     # a replayed batch gives the same rows again
     I.clean_batch(spark.createDataFrame(docs[10:20], schema), 1, ["id"], "text", maps, opts, "spring", ["id"], dic, out)
     assert I.read_dictionary(spark, dic).exceptAll(d.select("token", "idx", "literal")).collect() == []
