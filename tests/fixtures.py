@@ -1,52 +1,59 @@
 """Hand-made mini projects and mappings shared by the tests."""
 
+#: A planner and a motor that import each other, a shared type, and a file that nothing imports.
 JAVA_FILES = {
-    "com/myco/service/OrderService.java": (
-        "package com.myco.service;\n\nimport com.myco.repo.OrderRepository;\nimport com.myco.model.Order;\n"
-        "import com.myco.model.OrderStatus;\nimport com.myco2.external.Billing;\nimport java.util.List;\n\n"
-        "/**\n * Works on orders.\n * @author jo\n */\npublic class OrderService {\n"
-        '    static final String ORDER_TOPIC = "queue.com.myco.orders";\n'
-        "    OrderRepository orderRepository;\n\n    List<Order> load(long orderId) {\n"
-        '        log.info("load {}", orderId);\n        // Ordering is kept\n'
-        "        return List.of(orderRepository.byId(orderId));\n    }\n}\n"
+    "org/polaris/dome/ShutterPlanner.java": (
+        "package org.polaris.dome;\n\nimport java.time.Instant;\nimport org.polaris.sky.Window;\nimport org.polaris2.Meteo;\n"
+        "import org.polaris.dome.ShutterMotor;\n\n"
+        "/**\n * Opens the dome at dusk.\n * @since 3.1\n */\npublic final class ShutterPlanner {\n"
+        '    private static final String BUS = "bus.org.polaris.shutters";\n'
+        "    private final ShutterMotor shutterMotor;\n    /* Shuttering is another word */\n"
+        "    boolean mayOpen(Window window, Instant at) {\n"
+        '        log.warn("asked at {}", at);\n'
+        "        return window.holds(at) && shutterMotor.idle(); // no rain check yet\n    }\n}\n"
     ),
-    "com/myco/repo/OrderRepository.java": (
-        "package com.myco.repo;\n\nimport com.myco.model.Order;\n\n"
-        "public interface OrderRepository {\n    Order byId(long orderId);\n}\n"
+    "org/polaris/dome/ShutterMotor.java": (
+        "package org.polaris.dome;\n\nimport org.polaris.sky.Window;\nimport org.polaris.dome.ShutterPlanner;\n\n"
+        'class ShutterMotor {\n    int SHUTTER_SPEED = 4;\n    String brand = "slow shutter";\n'
+        "    boolean idle() { return SHUTTER_SPEED == 0; }\n}\n"
     ),
-    "com/myco/model/Order.java": (
-        "package com.myco.model;\n\nimport com.myco.model.OrderStatus;\n\n"
-        'public class Order {\n    OrderStatus orderStatus;\n    String note = "orders matter";\n}\n'
+    "org/polaris/sky/Window.java": (
+        "package org.polaris.sky;\n\nimport org.polaris.sky.Arc;\n\n"
+        "public record Window(Arc rise, Arc fall) {}\n"
     ),
-    "com/myco/model/OrderStatus.java": "package com.myco.model;\n\npublic enum OrderStatus { OPEN, DONE }\n",
+    "org/polaris/sky/Arc.java": "package org.polaris.sky;\n\npublic record Arc(double degrees) {}\n",
+    "org/polaris/lab/Bench.java": "package org.polaris.lab;\n\nimport org.polaris.sky.Arc;\n\nclass Bench {}\n",
 }
-JAVA_MAPPING = [("package", 0, "com.myco", "com.example"), ("variable", 0, "Order", "Record")]
+JAVA_MAPPING = [("package", 0, "org.polaris", "net.sample"), ("variable", 0, "Shutter", "Gate")]
+JAVA_ENTRY = "org/polaris/dome/ShutterPlanner.java"
+JAVA_REACHED = ["org.polaris.dome.ShutterPlanner", "org.polaris.sky.Window", "org.polaris.dome.ShutterMotor", "org.polaris.sky.Arc"]
 
+#: A board whose row imports it back, a chain of store files, and a module that does not exist.
 REACT_FILES = {
-    "features/payroll/PayrollList.tsx": (
-        "import { useState } from 'react';\nimport { usePayroll } from './usePayroll';\n"
-        "import { fetchPayrolls } from '@/features/payroll/api/payrollApi';\n"
-        "import { Payroll } from './types';\nimport { gone } from './missing';\n\n"
-        "export function PayrollList() {\n    {/* payroll table */}\n    const { payrolls } = usePayroll();\n"
-        "    const label = 'Payroll run';\n    const tpl = `fixed payroll text`;\n"
-        "    const live = `count: ${payrolls.length}`;\n    console.log('show payroll list');\n"
-        "    return <div>{label}</div>;\n}\n"
+    "screens/orchard/OrchardBoard.tsx": (
+        "import React from 'react';\nimport { now } from '@/lib/clock';\nimport { useOrchard } from './useOrchard';\n"
+        "import { Row } from './Row';\nimport { rain } from './weather';\n\n"
+        "export const OrchardBoard = () => {\n  const { orchards } = useOrchard(); // all of them\n"
+        "  const heading = \"Orchard by the river\";\n  const foot = `no trees`;\n"
+        "  const line = `${orchards.length} at ${now()}`;\n  console.warn('board', heading);\n"
+        "  return <section title={heading}>{/* rows */}<Row text={line} /></section>;\n};\n"
     ),
-    "features/payroll/usePayroll.ts": (
-        "import { fetchPayrolls } from '@/features/payroll/api/payrollApi';\n"
-        "import { Payroll } from './types';\n\nexport function usePayroll() {\n"
-        "    const payrolls: Payroll[] = [];\n    return { payrolls };\n}\n"
+    "screens/orchard/useOrchard.ts": (
+        "import { now } from '../../lib/clock';\nimport { read } from '@/store';\n\n"
+        "export const useOrchard = () => ({ orchards: read('ripe orchard'), at: now() });\n"
     ),
-    "features/payroll/api/payrollApi.ts": (
-        "import { Payroll } from '../types';\n\nexport async function fetchPayrolls(): Promise<Payroll[]> {\n"
-        "    const url = '/api/payrolls';\n    return [];\n}\n"
-    ),
-    "features/payroll/types/index.ts": (
-        "export interface Payroll {\n    payrollId: string;\n    PAYROLL_STATUS: string;\n}\n"
+    "screens/orchard/Row.jsx": (
+        "import { OrchardBoard } from './OrchardBoard';\n\nexport const Row = ({ text }) => <p>{text}</p>;\n"
     ),
+    "lib/clock.ts": "export const now = () => Date.now();\n",
+    "store/index.ts": "import { slice } from './orchardSlice';\n\nexport const read = (key: string) => slice[key];\n",
+    "store/orchardSlice.ts": "export const slice: Record<string, string[]> = { ORCHARD_KEY: ['north', 'south'] };\n",
 }
-REACT_MAPPING = [
-    ("package", 0, "features/payroll", "features/feature1"), ("variable", 0, "Payroll", "Widget"),
+REACT_MAPPING = [("package", 0, "screens/orchard", "screens/area1"), ("variable", 0, "Orchard", "Plot")]
+REACT_ENTRY = "screens/orchard/OrchardBoard.tsx"
+REACT_REACHED = [
+    REACT_ENTRY, "screens/orchard/weather", "lib/clock.ts", "screens/orchard/useOrchard.ts", "screens/orchard/Row.jsx",
+    "store/index.ts", "store/orchardSlice.ts",
 ]
 
 

@@ -10,11 +10,13 @@ from corpusveil.operators import rules as R
 from corpusveil.operators import sanitize as S
 from corpusveil.plans import extract as X
 from corpusveil.plans import restore as Z
-from tests.fixtures import JAVA_FILES, JAVA_MAPPING, REACT_FILES, REACT_MAPPING, files_df, mappings_df
+from tests.fixtures import (
+    JAVA_ENTRY, JAVA_FILES, JAVA_MAPPING, JAVA_REACHED, REACT_ENTRY, REACT_FILES, REACT_MAPPING, REACT_REACHED, files_df, mappings_df,
+)
 
 CASES = {
-    "spring": (JAVA_FILES, JAVA_MAPPING, "com/myco/service/OrderService.java", "com.myco"),
-    "react": (REACT_FILES, REACT_MAPPING, "features/payroll/PayrollList.tsx", "@"),
+    "spring": (JAVA_FILES, JAVA_MAPPING, JAVA_ENTRY, "org.polaris"),
+    "react": (REACT_FILES, REACT_MAPPING, REACT_ENTRY, "@"),
 }
 
 
@@ -28,63 +30,37 @@ def ordered(closure):
 
 def test_java_closure(spark):
     files = files_df(spark, JAVA_FILES, "spring")
-    closure = X.trace(files, entry_df(spark, "com/myco/service/OrderService.java"), "spring", "com.myco")
-    assert ordered(closure) == [
-        "com.myco.service.OrderService", "com.myco.repo.OrderRepository", "com.myco.model.Order", "com.myco.model.OrderStatus",
-    ]
+    assert ordered(X.trace(files, entry_df(spark, JAVA_ENTRY), "spring", "org.polaris")) == JAVA_REACHED
 
 
 def test_react_closure(spark):
-    files = files_df(spark, REACT_FILES, "react")
-    closure = X.trace(files, entry_df(spark, "features/payroll/PayrollList.tsx"), "react", "@")
-    assert ordered(closure) == [
-        "features/payroll/PayrollList.tsx", "features/payroll/missing", "features/payroll/usePayroll.ts",
-        "features/payroll/api/payrollApi.ts", "features/payroll/types/index.ts",
-    ]
-    missing = {r.module_id for r in closure.where("not found").collect()}
-    assert missing == {"features/payroll/missing"}
-    listed = G.checklist(closure, "react").orderBy("type_ord", "seq").collect()
-    assert listed[0].label == "Components" and listed[0].status == "found"
+    closure = X.trace(files_df(spark, REACT_FILES, "react"), entry_df(spark, REACT_ENTRY), "react", "@")
+    assert ordered(closure) == REACT_REACHED
+    assert [r.module_id for r in closure.where("not found").collect()] == ["screens/orchard/weather"]
+    listed = G.checklist(closure, "react").collect()
+    assert [(r.label, r.status) for r in listed if r.shown == REACT_ENTRY] == [("Components", "found")]
     assert sum(r.n_missing for r in G.checklist_summary(closure).collect()) == 1
 
 
-def breadth_first(files, edges, ids, entry):
-    """Plain model of the discovery order."""
-    seen, queue = {}, [entry]
-    while queue:
-        path = queue.pop(0)
-        if ids[path] in seen:
-            continue
-        seen[ids[path]] = True
-        for dep_id, dep_path in edges.get(path, []):
-            if dep_id not in seen:
-                if dep_path:
-                    queue.append(dep_path)
-                else:
-                    seen[dep_id] = False
-    return list(seen.items())
-
-
-def test_closure_order_on_random_graphs(spark):
-    import random
-
-    rng = random.Random(5)
-    files = {}
-    for i in range(40):
-        targets = [rng.randrange(48) for _ in range(rng.randrange(5))]
-        lines = "".join(f"import com.m.C{t};\n" for t in targets)
-        files[f"com/m/C{i}.java"] = f"package com.m;\n{lines}class C{i} {{}}\n"
+#: Class -> the classes it imports. Q is no file; C and A import each other; D imports itself.
+IMPORTS = {"A": "B C Q", "B": "D", "C": "A D E", "D": "D F", "E": "", "F": "B", "G": "Q E"}
+#: Entry -> all it reaches: nearer before farther, then in the order in which the nearer ones came.
+REACHED = {"A": "A B C Q D E F", "B": "B D F", "F": "F B D", "G": "G Q E", "E": "E"}
+
+
+def test_closure_order(spark):
+    files = {
+        f"org/g/{c}.java": "package org.g;\n" + "".join(f"import org.g.{t};\n" for t in targets.split()) + f"class {c} {{}}\n"
+        for c, targets in IMPORTS.items()
+    }
     df = files_df(spark, files, "spring")
-    rows = X.edges_of(df, "spring", "com.m").orderBy("src_path", "ord").collect()
-    edges = {}
-    for r in rows:
-        edges.setdefault(r.src_path, []).append((r.dep_id, r.dep_path))
-    ids = {p: p[:-5].replace("/", ".") for p in files}
-    entries = [f"com/m/C{i}.java" for i in range(0, 40, 4)]
-    closure = X.trace(df, entry_df(spark, *entries), "spring", "com.m").collect()
-    for e in entries:
-        got = [(r.module_id, r.found) for r in sorted((r for r in closure if r.entry == e), key=lambda r: r.seq)]
-        assert got == breadth_first(files, edges, ids, e)
+    closure = X.trace(df, entry_df(spark, *[f"org/g/{c}.java" for c in REACHED]), "spring", "org.g").collect()
+    got = {c: [r for r in sorted(closure, key=lambda r: r.seq) if r.entry == f"org/g/{c}.java"] for c in REACHED}
+    assert {r.module_id for r in closure if not r.found} == {"org.g.Q"}
+    for c, names in REACHED.items():
+        assert set(r.module_id[-1] for r in got[c]) == set(names.split())
+    for c in ("B", "E", "F"):
+        assert " ".join(r.module_id[-1] for r in got[c]) == REACHED[c]
 
 
 def test_java_imports_rules(spark):
@@ -137,6 +113,7 @@ def test_full_round_trip(spark, tmp_path, lang):
     files = files_df(spark, sources, lang)
     options = S.Options(strip_comments=False, strip_doc_tags=False, strip_loggers=False, mask_strings=True)
     done = X.extract(files, entry_df(spark, entry), lang, scope, maps, options)
+    files = files.where(~F.col("path").contains("/lab/"))
     clean = done.clean.drop("source_path").cache()
     assert A.leak_audit(clean, ["path"], "text", R.content_rules(maps)).collect() == []
     assert A.leak_audit(clean.withColumn("p", F.col("path")), ["path"], "p", R.path_rules(maps, lang)).collect() == []
@@ -150,12 +127,12 @@ def test_full_round_trip(spark, tmp_path, lang):
     back = Z.restore(
         clean, "d1", maps, done.dictionary, lang, ledger, str(tmp_path / "copy"), sink=lambda f: f.write.parquet(out), first_run=True
     )
-    assert spark.read.parquet(out).count() == len(sources)
+    assert spark.read.parquet(out).count() == files.count()
     assert not back.refused and back.leftovers.collect() == []
     assert A.round_trip_audit(files, back.files, ["project", "path"], "text").collect() == []
     total = back.summary.first()
     assert total.strings_restored > 0 and total.n_collisions == 0
-    assert spark.read.parquet(back.snapshot_path).count() == len(sources)
+    assert spark.read.parquet(back.snapshot_path).count() == files.count()
     sink = lambda f: f.write.mode("overwrite").parquet(out)
     assert Z.restore(clean, "d1", maps, done.dictionary, lang, ledger, sink=sink).refused
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
@@ -166,26 +143,35 @@ def test_full_round_trip(spark, tmp_path, lang):
     assert again.summary.first().n_changed == 0
 
 
-def test_stripped_extraction(spark):
-    sources, pairs, entry, scope = CASES["spring"]
-    done = X.extract(files_df(spark, sources, "spring"), entry_df(spark, entry), "spring", scope, mappings_df(spark, pairs), S.STRIP_ALL)
-    clean = {r.path: r.text for r in done.clean.collect()}
-    assert {"com/example/service/RecordService.java", "com/example/model/RecordStatus.java"} <= set(clean)
-    assert any("queue.com.example.records" in r.literal for r in done.dictionary.collect())
-    service = clean["com/example/service/RecordService.java"]
-    assert "log." not in service and "Ordering" not in service and "jo" not in service
-    sources, pairs, entry, scope = CASES["react"]
-    done = X.extract(files_df(spark, sources, "react"), entry_df(spark, entry), "react", scope, mappings_df(spark, pairs), S.STRIP_ALL)
-    clean = {r.path: r.text for r in done.clean.collect()}
-    shown = clean["features/feature1/WidgetList.tsx"]
-    assert "features/feature1/useWidget.ts" in clean
-    assert "'@/features/feature1/api/widgetApi'" in shown and "${widgets.length}" in shown
-    assert "Widget run" not in shown and "console" not in shown and "/*" not in shown
-    plan = B.extraction_plan(done.closure, files_df(spark, sources, "react"), mappings_df(spark, pairs), "react")
+def cleaned(spark, lang):
+    sources, pairs, entry, scope = CASES[lang]
+    done = X.extract(files_df(spark, sources, lang), entry_df(spark, entry), lang, scope, mappings_df(spark, pairs), S.STRIP_ALL)
+    return done, {r.path: r.text for r in done.clean.collect()}
+
+
+def test_stripped_java(spark):
+    done, clean = cleaned(spark, "spring")
+    assert set(clean) == {"net/sample/dome/GatePlanner.java", "net/sample/dome/GateMotor.java", "net/sample/sky/Window.java", "net/sample/sky/Arc.java"}
+    # literals are recorded before loggers go
+    assert {r.literal for r in done.dictionary.collect()} == {'"bus.net.sample.gates"', '"asked at {}"', '"slow gate"'}
+    text = clean["net/sample/dome/GatePlanner.java"]
+    assert not any(gone in text for gone in ("//", "/*", "@since", "log.", "Shutter", "bus."))
+    assert "import org.polaris2.Meteo;" in text and "GateMotor gateMotor;" in text
+
+
+def test_stripped_react(spark):
+    done, clean = cleaned(spark, "react")
+    assert set(clean) == {
+        "screens/area1/PlotBoard.tsx", "screens/area1/usePlot.ts", "screens/area1/Row.jsx", "lib/clock.ts", "store/index.ts", "store/plotSlice.ts",
+    }
+    text = clean["screens/area1/PlotBoard.tsx"]
+    assert not any(gone in text for gone in ("console", "rchard", "river", "no trees", "rows", "all of them"))
+    assert "from './usePlot'" in text and "`${plots.length} at ${now()}`" in text and "from '@/lib/clock'" in text
+    plan = B.extraction_plan(done.closure, files_df(spark, REACT_FILES, "react"), mappings_df(spark, REACT_MAPPING), "react")
     rows = {r.module_id: r for r in plan.collect()}
-    assert rows["features/payroll/missing"].action == "skip"
-    assert rows["features/payroll/usePayroll.ts"].target == "features/feature1/useWidget.ts"
-    assert rows["features/payroll/usePayroll.ts"].substitutions == 8
+    assert rows["screens/orchard/weather"].action == "skip"
+    hook = rows["screens/orchard/useOrchard.ts"]
+    assert (hook.target, hook.substitutions) == ("screens/area1/usePlot.ts", 3)
 
 
 def text_of(parts):
@@ -197,43 +183,44 @@ def test_bundles(spark, size):
     sources, pairs, entry, scope = CASES["spring"]
     closure = X.trace(files_df(spark, sources, "spring"), entry_df(spark, entry), "spring", scope)
     text = text_of(B.bundles(closure, mappings_df(spark, pairs), "spring", names_per_part=size))
-    assert "Mock all dependencies: RecordService, RecordRepository, Record, RecordStatus\n- Do not" in text
+    assert "Mock all dependencies: GatePlanner, Window, GateMotor, Arc\n- Do not" in text
     sources, pairs, entry, scope = CASES["react"]
     closure = X.trace(files_df(spark, sources, "react"), entry_df(spark, entry), "react", scope)
     text = text_of(B.bundles(closure, mappings_df(spark, pairs), "react", "vitest", names_per_part=size))
-    assert "using Vitest and" in text and "vi.mock: missing, useWidget, " in text and "types" in text
+    mocked = text.split("vi.mock: ", 1)[1].split("\n", 1)[0]
+    assert "using Vitest and" in text and "weather" in mocked and "usePlot" in mocked and "Orchard" not in text
     lonely = closure.where("type = 'component'")
     assert "[see modules below]" in text_of(B.bundles(lonely, mappings_df(spark, pairs), "react", names_per_part=size))
 
 
-def test_reversal_of_a_returned_file(spark, tmp_path):
-    text = (
-        "package com.example.service;\nimport com.example.model.Record;\nclass RecordServiceTest {\n"
-        "  Record myRecord; long recordId;\n  String t = \"STR_0\";\n  String o = 'STR_1'; // STR_9\n}\n"
-    )
-    files = files_df(spark, {"records/RecordServiceTest.java": text}, "spring")
-    d = L.with_index(spark.createDataFrame([("STR_0", '"queue.com.example.records"'), ("STR_1", '"plain"')], "token string, literal string"))
-    maps = mappings_df(spark, JAVA_MAPPING)
-    ledger = str(tmp_path / "ledger")
-    dry = Z.restore(files, "x", maps, d, "spring", ledger, str(tmp_path / "copy"), dry_run=True)
-    assert dry.summary.first().n_changed == 1 and not (tmp_path / "ledger").exists() and dry.snapshot_path is None
-    back = Z.restore(files, "x", maps, d, "spring", ledger, sink=lambda f: f.write.parquet(str(tmp_path / "out")), first_run=True)
-    row = back.files.first()
-    assert row.path == "orders/OrderServiceTest.java"
-    assert "package com.myco.service;" in row.text and "Order myOrder; long orderId;" in row.text
-    assert '"queue.com.myco.orders"' in row.text and '"plain"' in row.text
+def test_a_file_that_was_written_elsewhere_comes_back(spark, tmp_path):
+    text = "package net.sample.dome;\nclass GateMotorIT {\n  Gate gate;\n  String[] all = {`STR_2`, \"STR_2\", \"STR_7\"};\n}\n"
+    files = files_df(spark, {"gates/GateMotorIT.java": text, "README.txt": "none"}, "spring")
+    known = L.with_index(spark.createDataFrame([("STR_2", '"slow gate"')], "token string, literal string"))
+    maps, ledger, out = mappings_df(spark, JAVA_MAPPING), str(tmp_path / "ledger"), str(tmp_path / "out")
+    dry = Z.restore(files, "x", maps, known, "spring", ledger, str(tmp_path / "copy"), dry_run=True)
+    assert dry.snapshot_path is None and list(tmp_path.iterdir()) == []
+    assert dry.summary.first().n_changed == 1
+    back = Z.restore(files, "x", maps, known, "spring", ledger, sink=lambda f: f.write.parquet(out), first_run=True)
+    assert {r.path: r.text for r in spark.read.parquet(out).collect()} == {
+        "README.txt": "none",
+        "shutters/ShutterMotorIT.java": (
+            "package org.polaris.dome;\nclass ShutterMotorIT {\n  Shutter shutter;\n"
+            '  String[] all = {"slow shutter", "slow shutter", "STR_7"};\n}\n'
+        ),
+    }
+    assert [(r.path, r.tokens) for r in back.leftovers.select("path", "tokens").collect()] == [("gates/GateMotorIT.java", "STR_7")]
     assert back.summary.first().strings_restored == 2
-    assert back.leftovers.first().tokens == "STR_9"
     assert spark.read.parquet(ledger).count() == 1
 
 
 def test_collisions(spark):
-    files = files_df(spark, {p: "" for p in ["Record.java", "Order.java", "a/RecordX.java", "a/record.java", "a/b/Record.java"]}, "spring")
-    both = mappings_df(spark, [("variable", 0, "Order", "Record"), ("variable", 1, "Order", "Entry")])
+    files = files_df(spark, {p: "" for p in ["Gate.java", "Shutter.java", "a/GateX.java", "a/gate.java", "a/b/Gate.java"]}, "spring")
+    both = mappings_df(spark, [("variable", 0, "Shutter", "Gate"), ("variable", 1, "Shutter", "Door")])
     plan = {r.path: (r.target, r.collision) for r in V.rename_plan(files, both, "spring").collect()}
-    assert plan["Record.java"] == ("Order.java", True)
-    assert plan["a/RecordX.java"] == ("a/OrderX.java", False)
-    assert plan["a/b/Record.java"] == ("a/b/Order.java", False)
-    files = files_df(spark, {p: "" for p in ["RecordX.java", "EntryX.java"]}, "spring")
+    assert plan["Gate.java"] == ("Shutter.java", True)
+    assert plan["a/GateX.java"] == ("a/ShutterX.java", False)
+    assert plan["a/b/Gate.java"] == ("a/b/Shutter.java", False)
+    files = files_df(spark, {p: "" for p in ["GateX.java", "DoorX.java"]}, "spring")
     plan = {r.path: r.collision for r in V.rename_plan(files, both, "spring").collect()}
-    assert plan == {"EntryX.java": False, "RecordX.java": True}
+    assert plan == {"DoorX.java": False, "GateX.java": True}

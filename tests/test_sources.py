@@ -25,7 +25,7 @@ def test_read_sources(spark, tmp_path):
 
 def test_tree_round_trip(spark, tmp_path):
     files = files_df(spark, JAVA_FILES, "spring")
-    assert SF.write_tree(files, str(tmp_path / "t")) == 4
+    assert SF.write_tree(files, str(tmp_path / "t")) == len(JAVA_FILES)
     back = SF.read_sources(spark, f"file://{tmp_path}/t", "spring")
     assert {r.path: r.text for r in back.collect()} == JAVA_FILES
     with pytest.raises(Exception, match="leaves the target"):
@@ -33,17 +33,17 @@ def test_tree_round_trip(spark, tmp_path):
 
 
 def test_clean_and_snapshot(spark, tmp_path):
-    files = files_df(spark, JAVA_FILES, "spring").withColumn("path", F.when(F.col("path").contains("repo"), None).otherwise(F.col("path")))
+    files = files_df(spark, JAVA_FILES, "spring").withColumn("path", F.when(F.col("path").contains("Motor"), None).otherwise(F.col("path")))
     SF.write_clean(files, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "c")).count() == len(JAVA_FILES) - 1
     path = SF.snapshot(files, str(tmp_path / "s"), datetime(2024, 1, 2, 3, 4, 5))
-    assert path.endswith("s.backup-20240102-030405") and spark.read.parquet(path).count() == 4
+    assert path.endswith("s.backup-20240102-030405") and spark.read.parquet(path).count() == len(JAVA_FILES)
     assert SF.snapshot(files, str(tmp_path / "s"), dry_run=True) is None
 
 
 @pytest.mark.parametrize("doc,package,variable,strings,language", [
-    ('[{"from": "com.myco", "to": "com.example"}]', [("com.myco", "com.example")], [], {}, None),
-    ('{"package": [], "variable": [{"from": "Order", "to": "Record"}], "language": "spring"}', [], [("Order", "Record")], {}, "spring"),
+    ('[{"from": "org.polaris", "to": "net.sample"}]', [("org.polaris", "net.sample")], [], {}, None),
+    ('{"package": [], "variable": [{"from": "Shutter", "to": "Gate"}], "language": "spring"}', [], [("Shutter", "Gate")], {}, "spring"),
     ('{"version": 2, "strings": {"STR_0": "\\"x\\""}}', [], [], {"STR_0": '"x"'}, None),
 ])
 def test_read_mappings(spark, tmp_path, doc, package, variable, strings, language):
@@ -79,9 +79,9 @@ def test_write_then_read_mappings(spark, tmp_path):
 
 
 def test_pairs(spark):
-    df = spark.createDataFrame([(0, "com.myco=com.example"), (1, "Order=Rec=ord")], "n int, pair string")
+    df = spark.createDataFrame([(0, "org.polaris=net.sample"), (1, "Shutter=Ga=te")], "n int, pair string")
     got = SM.mappings_from_pairs(df, "pair", "variable", ord_col="n").orderBy("ord").collect()
-    assert [(r["from"], r["to"]) for r in got] == [("com.myco", "com.example"), ("Order", "Rec=ord")]
+    assert [(r["from"], r["to"]) for r in got] == [("org.polaris", "net.sample"), ("Shutter", "Ga=te")]
     for bad in ["no-separator", "=empty", "empty="]:
         one = spark.createDataFrame([(0, bad)], "n int, pair string")
         assert SM.rejected_pairs(one, "pair").count() == 1
@@ -100,7 +100,7 @@ def test_sources_from_table(spark):
 def test_stream_equals_batch_and_replays(spark, tmp_path):
     src, out, dic, chk = (str(tmp_path / d) for d in ("in", "out", "dic", "chk"))
     maps = mappings_df(spark, JAVA_MAPPING)
-    docs = [(i, f'class Order{i} {{ s = "lit {i % 7}"; t = "own {i}"; }}') for i in range(40)]
+    docs = [(i, f'class Shutter{i} {{ s = "lit {i % 7}"; t = "own {i}"; }}') for i in range(40)]
     schema = "id int, text string"
     opts = S.Options(mask_strings=True)
     for k in range(4):
