@@ -121,7 +121,8 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those the rewritten text adds: none that overlaps a base span of its kind."""
+    """Base spans, and those the rewritten text adds: none that a base span of its kind holds whole.
+    A base span may be a fragment of an added one."""
     base = base_spans(text)
     changes = rewrites(text)
     if not changes:
@@ -148,11 +149,13 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
             return source[i + 1][0] if closing else start
         return start + place - places[i]
 
+    # base spans of a kind do not overlap
     own = [[s[1:] for s in base if s[0] == kind] for kind in range(len(KINDS))]
     added = []
     for kind, start, end in base_spans(plain):
         a, b = origin(start, False), origin(end, True)
-        if not any(x < b and a < y for x, y in own[kind]):
+        i = bisect_right(own[kind], a, key=lambda s: s[0]) - 1
+        if i < 0 or own[kind][i][1] < b:
             added.append((kind, a, b))
     return base, added
 

@@ -452,6 +452,28 @@ def test_disguises(text, kind, found):
     assert (kind, found) in [(pii.KINDS[k], text[a:b]) for k, a, b in added]
 
 
+@pytest.mark.parametrize("text,kind,found,rest", [
+    ("to jаne@example.com now", "email", "jаne@example.com", "to <EMAIL> now"),
+    ("to ja\u200bne@example.com now", "email", "ja\u200bne@example.com", "to <EMAIL> now"),
+    ("to ja\u00adne@example.com now", "email", "ja\u00adne@example.com", "to <EMAIL> now"),
+    ("to jane (dot) doe@example.com now", "email", "jane (dot) doe@example.com", "to <EMAIL> now"),
+    ("to jane@example.cоm now", "email", "jane@example.cоm", "to <EMAIL> now"),
+    ("to jane@example.co (dot) uk now", "email", "jane@example.co (dot) uk", "to <EMAIL> now"),
+    ("to +49 170 12345６７ now", "phone", "+49 170 12345６７", "to <PHONE> now"),
+    ("to 10.0.0.1２ now", "ip", "10.0.0.1２", "to <IP> now"),
+])
+def test_disguises_beside_a_base_span(text, kind, found, rest):
+    base, added = pii.all_spans(text)
+    assert base == plain_spans(text) and len(base) == 1
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, found)]
+    assert pii.masked(text, base + added) == rest
+
+
+def test_base_spans_are_not_added_again():
+    text = "jane@example.com, +49 170 1234567 and ｘ one (dot) two. " * 2
+    assert len(pii.base_spans(text)) == 4 and pii.all_spans(text)[1] == []
+
+
 def test_pii_table(spark):
     rows = [(1, "a@b.co +49 123 456 789, 4111 1111 1111 1111, 10.0.0.1"), (2, None), (3, ""), (None, "x@y.zz"), (1, "dup"), (4, "w " * 100_000 + "jane (at) x (dot) com")]
     got = sorted(((r.doc_id, r.spans) for r in pii.find(docs(spark, rows)).collect()), key=str)
