@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Spelled digits needed before number words are read as a number.
-SPELLED = 7
 #: Look-alikes of Latin letters. Full-width forms and other digits follow from Unicode.
 LOOKALIKES = dict(zip(
     "авсԁеһіјӏмопрԛѕтухѵԝАВСЕНІЈКМОРЅТХУ" + "αεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
@@ -39,13 +37,13 @@ DOTS = ("dot", "point", "punkt", "punto")
 
 _number = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _dot = "(?:" + "|".join(DOTS) + ")"
-_CHAIN = re.compile(rf"\b(?:plus[ \t]+)?{_number}(?:[ \t-]+(?:{_number}|{_dot}|[0-9]+)\b)+", re.I)
+_CHAIN = re.compile(rf"\b(?:plus[ \t]+)?(?:{_number}|[0-9]{{1,3}}(?=[ \t]+{_dot}\b))(?:[ \t-]+(?:{_number}|{_dot}|[0-9]+)\b)+(?!@)", re.I)
 _CHAIN_WORD = re.compile(r"[^\W_]+")
 _BRACKET = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:(at|ät|arroba)|{_dot})[ \t]*[)\]}}>][ \t]*", re.I)
 _name = r"[^\W_](?:[\w-]*[^\W_])?"
 _SPACED = re.compile(rf"(?<=[\w])[ \t]+at[ \t]+{_name}(?:[ \t]+dot[ \t]+{_name})+(?!\w)", re.I)
 _SPACED_WORD = re.compile(r"[ \t]+(?:(at)|dot)[ \t]+", re.I)
-_HINT = re.compile(rf"[(\[{{<][ \t]*(?:at|ät|arroba|{_dot})[ \t]*[)\]}}>]|[ \t]dot[ \t]|\b{_number}[ \t-]+(?:{_number}|[0-9])\b", re.I)
+_HINT = re.compile(rf"[(\[{{<][ \t]*(?:at|ät|arroba|{_dot})[ \t]*[)\]}}>]|[ \t]dot[ \t]|[0-9][ \t]+{_dot}\b|\b{_number}[ \t-]+(?:{_number}\b|{_dot}\b|[0-9])", re.I)
 _foreign = "".join(LOOKALIKES) + INVISIBLE + "！-～"
 _FOREIGN = re.compile(f"[{_foreign}]")
 _OTHER_DIGIT = re.compile(r"(?![0-9])\d")
@@ -91,12 +89,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _spelled(chain: str) -> str | None:
+def _spelled(chain: str) -> str:
     words = _CHAIN_WORD.findall(chain.lower())
-    if sum(w in DIGITS for w in words) < SPELLED:
-        return None
-    made = ["+" if w == "plus" else "." if w in DOTS else DIGITS.get(w, w) for w in words]
-    return "".join(made)
+    return "".join("+" if w == "plus" else "." if w in DOTS else DIGITS.get(w, w) for w in words)
+
+
+def _apart(spans: list[tuple], others: list[tuple]) -> list[tuple]:
+    """Those of spans (start, end, ...) that meet none of others; both in order and without overlap."""
+    ends = [b for _, b, *_ in others]
+    out = []
+    for s in spans:
+        i = bisect_right(ends, s[0])
+        if i == len(ends) or others[i][0] >= s[1]:
+            out.append(s)
+    return out
 
 
 def rewrites(text: str) -> list[tuple[int, int, str]]:
@@ -104,9 +110,12 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if _HINT.search(text):
         found += [(*m.span(), "@" if m[1] else ".") for m in _BRACKET.finditer(text)]
-        for m in _SPACED.finditer(text):
-            found += [(*w.span(), "@" if w[1] else ".") for w in _SPACED_WORD.finditer(text, m.start(), m.end())]
-        found += [(*m.span(), made) for m in _CHAIN.finditer(text) if (made := _spelled(m[0])) is not None]
+        chains = [(*m.span(), _spelled(m[0])) for m in _CHAIN.finditer(text)]
+        # "at eight dot eight dot eight dot eight" is a number, "at one dot com" an address
+        spaced = _apart([m.span() for m in _SPACED.finditer(text)], [c for c in chains if base_spans(c[2])])
+        for start, end in spaced:
+            found += [(*w.span(), "@" if w[1] else ".") for w in _SPACED_WORD.finditer(text, start, end)]
+        found += _apart(chains, spaced)
     if not text.isascii():
         for m in _FOREIGN.finditer(text):
             c = m[0]

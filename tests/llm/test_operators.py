@@ -433,6 +433,11 @@ def test_long_runs_are_linear():
         pii.all_spans(text)
 
 
+def test_long_spelled_runs_are_linear():
+    for text in ("one dot " * 40_000, "1 dot " * 50_000, "x at one dot com " * 20_000, "eight dot eight dot eight dot eight, " * 8_000, "plus " * 60_000, "one" + " " * 300_000):
+        pii.all_spans(text)
+
+
 @pytest.mark.parametrize("text,kind,found", [
     ("mail jane.doe (at) example (dot) com now", "email", "jane.doe (at) example (dot) com"),
     ("write jane at example dot co dot uk please", "email", "jane at example dot co dot uk"),
@@ -469,6 +474,32 @@ def test_disguises_beside_a_base_span(text, kind, found, rest):
     assert pii.masked(text, base + added) == rest
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("dns eight dot eight dot eight dot eight ok", "ip", "eight dot eight dot eight dot eight"),
+    ("host at eight dot eight dot eight dot eight, ok", "ip", "eight dot eight dot eight dot eight"),
+    ("dns acht punkt acht punkt acht punkt acht ok", "ip", "acht punkt acht punkt acht punkt acht"),
+    ("ip one two seven dot zero dot zero dot one ok", "ip", "one two seven dot zero dot zero dot one"),
+    ("ip 192 dot 168 dot zero dot 1 ok", "ip", "192 dot 168 dot zero dot 1"),
+    ("card 4111 1111 1111 one one one one ok", "card", "4111 1111 1111 one one one one"),
+    ("call +49 170 five five five one two ok", "phone", "+49 170 five five five one two"),
+    ("call +49 one 7012345 ok", "phone", "+49 one 7012345"),
+    ("mail jane at one dot com ok", "email", "jane at one dot com"),
+    ("mail jane (at) one (dot) com ok", "email", "jane (at) one (dot) com"),
+])
+def test_short_spelled_chains(text, kind, found):
+    base, added = pii.all_spans(text)
+    assert base == plain_spans(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", [
+    "three dot five, nine hundred dot one dot two", "eight dot eight dot eight dot eight eight eight", "one two three four five six seven",
+    "4111 1111 1111 one one one two", "ask one two@example.com", "version 3 dot 5 point one",
+])
+def test_chains_that_form_nothing(text):
+    assert pii.all_spans(text) == (plain_spans(text), [])
+
+
 def test_base_spans_are_not_added_again():
     text = "jane@example.com, +49 170 1234567 and ｘ one (dot) two. " * 2
     assert len(pii.base_spans(text)) == 4 and pii.all_spans(text)[1] == []
