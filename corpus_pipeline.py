@@ -35,10 +35,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 Jaccard on five-word shingles join, that with the smallest id stays."""
-    found = jaccard.jaccard_components(docs)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of rows that links of 0.8 Jaccard on five-word shingles join, one with the smallest id stays.
+
+    Rows are decided one by one: an id on two texts may stay with one of them. Rows without an id
+    come last, so they stay only in a group without ids. Of rows that repeat id and text one stays
+    (by the other columns). Texts without a word are linked with nothing: all their rows stay.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard.jaccard_components(keyed, "_key").where(F.col("n_shingles") > 0)
+    rows = materialize(
+        found.groupBy(F.col("doc_id").alias("_key"), F.col("component_id").alias("_comp")).agg(F.count(F.lit(1)).alias("_n")), "rows"
+    )
+    named = keyed.select("_key", "doc_id").distinct().join(rows.select("_key", "_comp"), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key").alias("key")))
+    stays = materialize(named.groupBy("_comp").agg(first.alias("first")).select(F.col("first.key").alias("_key")), "stays")
+    left = keyed.join(rows.select("_key").join(stays, "_key", "left_anti"), "_key", "left_anti")
+    repeated = materialize(rows.where("_n > 1").select("_key").join(stays, "_key", "left_semi"), "repeated")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    again = left.join(repeated, "_key", "left_semi").groupBy("_key", F.xxhash64(F.lit(1), "text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(repeated, "_key", "left_anti").select(docs.columns).unionByName(again.select("row.*"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

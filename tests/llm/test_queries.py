@@ -82,3 +82,22 @@ def test_pipeline_equals_plain_stages(spark, sf_dir, tmp_path):
 def test_stages_take_empty_tables(spark, sf_dir, name):
     docs = queries.table(spark, sf_dir, "documents").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).count() == 0
+
+
+def test_near_duplicates_decide_by_row(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(12)) for k in "abcdefg"}
+    rows = [
+        (2, text["a"], "x"), (5, text["a"], "x"), (5, text["b"], "x"),  # an id on a copy and on a text of its own
+        (7, text["c"], "x"), (7, text["c"], "x"), (7, text["c"], "w"),  # repeated rows
+        (None, text["d"], "x"), (None, text["d"], "x"), (None, text["e"], "x"), (9, text["e"], "x"),  # copies without an id
+        (3, text["f"], "x"), (3, text["f"] + " more", "x"), (None, text["g"], "x"), (8, "", "x"), (8, "", "x"), (None, None, "x"), (None, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    one_of_three = [r for r in got if r[0] == 3]
+    assert len(one_of_three) == 1 and one_of_three[0] in rows
+    want = [
+        (2, text["a"], "x"), (5, text["b"], "x"), (7, text["c"], "w"), (None, text["d"], "x"), (9, text["e"], "x"), (None, text["g"], "x"),
+        (8, "", "x"), (8, "", "x"), (None, None, "x"), (None, None, "x"),
+    ]
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted(want, key=str)
