@@ -94,8 +94,39 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12 = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS idx,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), plain AS (
+  SELECT conv_id, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+  FROM turns GROUP BY conv_id
+), plan AS (SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS source, h, least(h, coalesce((SELECT n FROM plain s WHERE s.conv_id = c.conv_id - c.conv_id % 5), 0)) AS k FROM plain c),
+rebuilt AS (
+  SELECT p.conv_id, t.idx AS place, role, text FROM plan p JOIN turns t ON t.conv_id = p.source AND t.idx < p.k
+  UNION ALL SELECT p.conv_id, p.k + t.idx - p.h, role, text FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND t.idx >= p.h
+), paths AS (
+  SELECT conv_id, place + 1 AS depth, strlen(text) AS bytes,
+    list(sha256(strlen(role) || ':' || role || strlen(text) || ':' || text)) OVER (PARTITION BY conv_id ORDER BY place) AS path
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM plan
+), nodes AS (SELECT path, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM paths GROUP BY path),
+last AS (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM last GROUP BY path),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+above AS (SELECT unnest(list_transform(range(CAST(depth + 1 AS BIGINT)), lambda i: path[:i])) AS path, n_children, (n_convs - 1) * bytes AS saved FROM own),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(digest, sha256('')) AS ends_sha256
+FROM own o JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON o.depth > 0 AND p.path = o.path[:o.depth - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": OP1, "op3_chat_formatting": OP3, "op5_arc_to_warc": OP5, "op6_line_dedup": OP6, "op7_top_k": OP7,
+        "op12_prefix_trie": OP12,
     }

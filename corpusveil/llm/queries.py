@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusveil.llm import bpe, chat, fingerprints, jaccard, langid, lines, packing, pii, topk, warc
+from corpusveil.llm import bpe, chat, fingerprints, jaccard, langid, lines, packing, pii, topk, trie, warc, whitening
 from corpusveil.llm.frames import prepare
 
 CAPACITY = 2048
@@ -102,5 +102,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of all embeddings. deviation is null where it passes a
+    long; deviation_exact has it up to 38 digits."""
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 256).cast("bigint"))
+    whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & whole).select("vec_id", x.alias("x"))
+    model = whitening.fit(rows, "x", 4)
+    form = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double, deviation_exact decimal(38,0)"
+    if model is None:
+        return spark.createDataFrame([], form)
+    big = "decimal(38,0)"
+    steps = F.zip_with("x", F.array(*[F.lit(str(s)).cast(big) for s in model.sums]), lambda a, s: F.try_subtract(F.try_multiply(a.cast("decimal(19,0)"), F.lit(model.n).cast("decimal(19,0)")).cast(big), s).cast("decimal(38,0)"))
+    squares = F.transform(steps, lambda s: F.try_multiply(s, s).try_cast(big))
+    exact = F.aggregate(squares, F.lit(0).cast(big), lambda a, b: F.try_add(a, b).try_cast(big))
+    keyed = rows.select(F.struct("vec_id", exact.alias("exact")).alias("id"), "x")
+    found = whitening.project(keyed, model, "id", "x").select("id.*", F.posexplode("whitened").alias("place", "value"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("place") + 1)
+    return found.select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("bigint").alias("n"),
+        F.col("exact").try_cast("bigint").alias("deviation"), F.col("value").alias("whitened"), pick(model.explained).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"), F.col("exact").alias("deviation_exact"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with the opening turns of the first of its five."""
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return trie.prefix_trie(*trie.shared_openings(turns, F.crc32(c.cast("string")) % 9, c - c % 5))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
