@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusveil.llm import bpe, chat, fingerprints, jaccard, langid, lines, packing, pii, topk, trie, warc, whitening
+from corpusveil.llm import bpe, chat, fingerprints, jaccard, langid, lines, packing, pii, topk, toxicity, trie, warc, whitening
 from corpusveil.llm.frames import prepare
 
 CAPACITY = 2048
@@ -133,5 +133,19 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.shared_openings(turns, F.crc32(c.cast("string")) % 9, c - c % 5))
 
 
+#: The least score of a document that is called toxic.
+TOXIC = 0.3
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a model of three quarters of the labelled ones. A document without id is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    model = toxicity.fit(toxicity.labelled(docs.where(~held_out), table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("hits").cast("bigint").alias("n_hits")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
