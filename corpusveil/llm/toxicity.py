@@ -20,16 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusveil.llm.frames import only_keys
+from corpusveil.llm.text_hash import mix, parts, shingle_sets
 from corpusveil.session import materialize
 
 #: Size of the model: terms, known words near a term, slots of context words.
 TERMS, NEAR_WORDS, SLOTS = 1024, 1 << 16, 1 << 14
 #: A term's toxic share; for a stem, and how many different words it must have, and its shortest length.
-WORD_SHARE, STEM_SHARE, STEM_WORDS, STEM_CHARS = 0.8, 0.95, 4, 4
+WORD_SHARE, STEM_SHARE, STEM_WORDS, STEM_CHARS = 0.8, 0.8, 4, 3
 #: Words on each side that count as context, the weight of what is known before any is seen, and the most context can say (nats).
 WINDOW, PRIOR, MOST = 5, 20.0, 4.0
 #: What quotation says before any is seen: so many quoted hits, this share of them toxic.
 QUOTED_SEEN, QUOTED_TOXIC = 2.0, 0.5
+#: Least hashes that tell copies among the training texts.
+COPY_SEEDS = (0x1F83D9AB, 0x5BE0CD19, 0x6A09E667, 0x3C6EF372)
 #: Distinct words that a task counts before it passes them on; characters matched at once.
 FLUSH, PART = 200_000, 1 << 18
 #: Signs that stand for letters inside a word, and quotation marks.
@@ -291,23 +294,19 @@ def _lexicon(counts: DataFrame, base: float) -> tuple[list[tuple[str, bool]], di
         starts.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(n1 > 0).alias("kinds"))
         .where((n1 >= STEM_SHARE * (n1 + n0)) & (F.col("kinds") >= STEM_WORDS)).withColumn("sure", _sure(n1, n0, base)).where(F.col("sure") > need)
     )
-    best = lambda df, n: df.orderBy(F.desc("sure"), "word").limit(n).select("word", "n1", "n0").collect()
-    families = {r["word"]: (r["n1"], r["n0"]) for r in best(stems, 4 * TERMS)}
+    found = [
+        (-r["sure"], -len(r["word"]), not stem, r["word"], (r["n1"], r["n0"]))
+        for df, stem, most in ((stems, True, 4 * TERMS), (words, False, TERMS))
+        for r in df.orderBy(F.desc("sure"), F.desc(chars), "word").limit(most).select("word", "n1", "n0", "sure").collect()
+    ]
+    # the surest first, of equally sure ones the longest; a term that holds another, or is held by it, says nothing new
     terms: dict[tuple[str, bool], tuple[int, int]] = {}
-    for stem in sorted(families, key=lambda w: (len(w), w)):
-        if any((stem[:k], True) in terms for k in range(STEM_CHARS, len(stem) + 1)):
-            continue
-        longer = stem  # as long as it loses nothing
-        while True:
-            same = [w for w in families if len(w) == len(longer) + 1 and w.startswith(longer) and families[w] == families[stem]]
-            if not same:
-                break
-            longer = same[0]
-        if len(terms) < TERMS and not any(longer.startswith(w) for w, _ in terms):
-            terms[longer, True] = families[longer]
-    for r in best(words, TERMS):
-        if not any(r["word"].startswith(w) for (w, s) in terms if s):
-            terms[r["word"], False] = (r["n1"], r["n0"])
+    heads: set[str] = set()
+    for _, _, whole, word, seen in sorted(found):
+        held = any((word[:k], True) in terms for k in range(1, len(word) + 1))
+        if len(terms) < TERMS and not held and (whole or word not in heads) and (word, True) not in terms:
+            terms[word, not whole] = seen
+            heads.update(word[:k] for k in range(1, len(word) + 1))
     order = sorted(terms)
     return order, {t: terms[t] for t in order}
 
@@ -353,14 +352,35 @@ def _context_counts(shared):
     return run
 
 
+def _marked(batches):
+    """Batches of (id, text, toxic) -> with the least of the text's shingle hashes under each of COPY_SEEDS."""
+    for batch in batches:
+        low = 0
+        for part in parts(batch.column(1)):
+            marks = []
+            for tokens in shingle_sets(part, 3):
+                marks.append([int(mix(tokens ^ np.uint64(seed)).min().view(np.int64)) for seed in COPY_SEEDS] if len(tokens) else [])
+            yield pa.RecordBatch.from_arrays([*(c.slice(low, len(part)) for c in batch.columns), pa.array(marks, pa.list_(pa.int64()))], ["id", "text", "toxic", "marks"])
+            low += len(part)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, toxic) of every distinct text with a label: toxic if any row with this text is so
-    labelled. Only texts that may have a label move. Rows without id or label take no part."""
+    """(text, toxic) of the texts with a label, one of each group of copies and near copies, as words
+    of a text that was copied a thousand times say no more than those of one.
+
+    Of texts that agree in the least of their shingle hashes under any of COPY_SEEDS, the one with the
+    smallest id stays. Only texts that may have a label move. Rows without id or label, and
+    texts without a word, take no part; of several labels of an id the highest holds.
+    """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = only_keys(rows, "_id", marks).join(marks, "_id").withColumn("_key", F.xxhash64("text"))
-    # copies first meet where they stand; a text of thousands of copies counts once
-    return materialize(texts.groupBy("_key", F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    texts = only_keys(rows, "_id", marks).join(marks, "_id").select(F.col("_id").cast("bigint").alias("id"), "text", "toxic")
+    marked = materialize(texts.mapInArrow(_marked, "id bigint, text string, toxic int, marks array<bigint>").where(F.size("marks") > 0).withColumn("key", F.xxhash64("text")), "labelled")
+    of = F.struct("id", "key")
+    each = marked.select(of.alias("of"), F.posexplode("marks").alias("band", "mark"))
+    first = each.groupBy("band", "mark").agg(F.min("of").alias("of"))
+    stay = first.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(COPY_SEEDS)).select("of.*")
+    return materialize(marked.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("text", "toxic"), "training")
 
 
 def fit(train: DataFrame) -> Model:
@@ -405,7 +425,7 @@ def score_texts(texts: list[str], model: Model):
             word = words.word(i)
             p = model.term[term] if edits == 0 else model.near.get(word, model.others[edits])
             p = min(max(p, 1e-4), 1 - 1e-4)
-            told = float(np.clip(model.context[slots].sum() + quoted * model.context[SLOTS], -MOST, MOST))
+            told = float(np.clip(model.context[slots].sum() + quoted * model.context[SLOTS], -MOST, MOST if edits == 0 else 0.0))
             p = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + told)))
             d = words.doc[i]
             best[d][term] = max(best[d].get(term, 0.0), p)
