@@ -26,7 +26,7 @@ from corpusveil.session import materialize
 #: Size of the model: terms, known words near a term, slots of context words.
 TERMS, NEAR_WORDS, SLOTS = 1024, 1 << 16, 1 << 14
 #: A term's toxic share; for a stem, and how many different words it must have, and its shortest length.
-WORD_SHARE, STEM_SHARE, STEM_WORDS, STEM_CHARS = 0.8, 0.8, 4, 3
+WORD_SHARE, STEM_SHARE, STEM_WORDS, STEM_CHARS = 0.5, 0.8, 4, 3
 #: Words on each side that count as context, the weight of what is known before any is seen, and the most context can say (nats).
 WINDOW, PRIOR, MOST = 5, 20.0, 4.0
 #: What quotation says before any is seen: so many quoted hits, this share of them toxic.

@@ -129,9 +129,10 @@ def _matrix(x: np.ndarray, high: int):
 
 def _centred_block(dims: int, dtype, n: int, sums: tuple):
     """The centred rows of one block as a matrix, and their ids."""
+    high = _rows(dims)
 
     def finish(table: pa.Table):
-        m = _matrix(_centred(_numbers(table, dims, dtype), n, sums), _rows(dims))
+        m = _matrix(_centred(_numbers(table, dims, dtype), n, sums), high)
         ids = table.column("id").combine_chunks()
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), m], ["ids", "m"])
 
@@ -140,12 +141,13 @@ def _centred_block(dims: int, dtype, n: int, sums: tuple):
 
 def _centred_raw(dims: int, dtype, n: int, sums: tuple):
     """Batches of (block, x) -> (block, m): the centred rows as matrices."""
+    high = _rows(dims)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x = np.frombuffer(batch.column(1)[i].as_py(), dtype).reshape(-1, dims)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), _matrix(_centred(x, n, sums), _rows(dims))], ["block", "m"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), _matrix(_centred(x, n, sums), high)], ["block", "m"])
 
     return run
 

@@ -13,7 +13,7 @@ from tests.llm.test_operators import brute_components, brute_lines
 
 def test_registered():
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= names and set(oracles.oracle_sql()) <= names
 
 
@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert sorted(str([r[c] for c in names]) for r in df.collect()) == sorted(str([r[c] for c in names]) for r in want)
 
 
-@pytest.mark.parametrize("name", ["op2_best_fit_packing", "op4_bpe_round_trip", "op9_fingerprints", "op10_pii"])
+@pytest.mark.parametrize("name", ["op2_best_fit_packing", "op4_bpe_round_trip", "op9_fingerprints", "op10_pii", "op13_toxicity"])
 def test_query_covers_its_table(spark, sf_dir, name):
     ids = {r.doc_id for r in queries.table(spark, sf_dir, "documents").select("doc_id").collect()}
     assert {r.doc_id for r in contract.queries()[name](spark, sf_dir).select("doc_id").collect()} == ids
