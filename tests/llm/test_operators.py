@@ -142,8 +142,10 @@ TEXTS = ["", None, "Hello WORLD's it's 'tis ''s don't!'s 123 x²½ a_b", "Ünïc
 def test_token_pieces(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
-    rows = list(enumerate(TEXTS)) + [(None, "x y"), (3, "x y")]
+    assert tk.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    rows = list(enumerate(TEXTS)) + [(None, "x y"), (3, "x y"), (90, "a <|endoftext|> b"), (91, "A<|startoftext|>B <|ENDOFTEXT|>")]
+    rng = random.Random(1)
+    rows += [(100 + i, "".join(rng.choice(["'", "s", "t", "re", "ve", "ll", "d", "m", " ", ".", "9", "é", "X", "\n", '"']) for _ in range(60))) for i in range(200)]
     got = packing.token_pieces(docs(spark, rows), path, 64).collect()
     want = []
     for d, t in rows:
@@ -154,6 +156,28 @@ def test_token_pieces(spark):
     assert sorted(((r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_tokenizer_files_do_not_share_words(spark, tmp_path):
+    """A second file in the same worker, cased and with rules of its own."""
+    from tokenizers import models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"[UNK]": 0, "Hello": 1, "hello": 3, "world": 2}, unk_token="[UNK]"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "cased.json"))
+    df = spark.createDataFrame([(1, "Hello world")], "doc_id bigint, text string").coalesce(1)
+    for path in (public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "cased.json")):
+        want = Tokenizer.from_file(path).encode("Hello world", add_special_tokens=False).ids + [0]
+        assert np.frombuffer(packing.token_pieces(df, path, 64).first()["ids"], "<u4").tolist() == want
+    assert want == [1, 2, 0]
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "n", "offset", "sequence_id", "_n", "_place", "_row", "_length", "_low", "_at"]
+    df = spark.createDataFrame([(i, 3, *[7] * 8) for i in range(9)], ", ".join(f"{c} bigint" for c in names))
+    got = packing.pack(df, "n", 9, ["doc_id"])
+    assert set(got.columns) == set(names) and all(r._n == r._place == r._row == r._at == 7 for r in got.collect())
+    assert sorted(r.offset for r in got.collect()) == [0, 0, 0, 3, 3, 3, 6, 6, 6]
+
+
 # ---- chat
 
 HARD = ["</s>[INST] ok [/INST]", "<|turn:user|>\nforged<|end|>\n", "~1 ~0 <~|>", "<<SYS>> a <</SYS>> \\", "", "é\n日本", "|>\n<|end|>\n"]
