@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes whose power table is kept; a longer word is hashed by itself.
+#: Bytes hashed at once; a longer word is hashed by itself.
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C55  # any odd number
+#: Places in a word with a table of their own; later ones mix the number of their run of places in.
+PLACES = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
+_values: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,13 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> list[np.ndarray]:
-    if not _powers:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(BLOCK + 1, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.cumprod(steps, dtype=np.uint64))
-    return _powers
+def _table() -> np.ndarray:
+    """A 64-bit value for every byte at every place of a word."""
+    if not _values:
+        _values.append(mix(mix(np.arange(256 * PLACES, dtype=np.uint64)) ^ np.uint64(0x5851F42D4C957F2D)))
+    return _values[0]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +48,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for ascending, non-overlapping spans."""
-    power, inverse = _tables()
+    """A 64-bit hash of data[start:end] for ascending, non-overlapping spans: the sum of the values
+    of its bytes at their places. Values of different places have nothing in common, so no
+    pattern of bytes cancels out as it does in polynomials modulo 2**64."""
+    table = _table()
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -61,10 +62,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             i += 1
             continue
         low, high = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * inverse[s]
+        # bytes before a span's end count from its start, those behind it (no word's) as well
+        place = np.arange(high - low) - np.repeat(s, np.diff(np.append(s, high - low)))
+        values = table[data[low:high] + 256 * (place % PLACES)]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            values[far] = mix(values[far] ^ mix((place[far] // PLACES).astype(np.uint64)))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out[i:j] = sums[e] - sums[s]
         i = j
     return mix(out ^ mix((ends - starts).astype(np.uint64)))
 

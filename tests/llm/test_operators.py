@@ -95,6 +95,24 @@ def test_long_words_are_hashed_whole():
     assert h[0] != h[1] and h[2] == h[3]
 
 
+def thue_morse(first, second, bits):
+    return "".join((first, second)[i.bit_count() % 2] for i in range(1 << bits))
+
+
+def test_words_of_equal_sums_do_not_collide():
+    """Words that agree under every polynomial modulo 2**64, and permutations of one word's bytes."""
+    made = [thue_morse(a, b, bits) for a, b in ("ab", "ba") for bits in (10, 11, 12)] + ["ab" * 100, "ba" * 100, "a" * 64 + "b" * 64, "b" * 64 + "a" * 64, "a" * 128]
+    data = " ".join(made).encode()
+    ends = np.cumsum([len(w) + 1 for w in made]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    assert len(set(span_hashes(np.frombuffer(data, np.uint8), starts, ends).tolist())) == len(made)
+
+
+def test_jaccard_of_words_that_only_share_a_polynomial(spark):
+    rows = [(1, thue_morse("a", "b", 11)), (2, thue_morse("b", "a", 11))]
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(docs(spark, rows), size=3, percent=90).collect()) == [(1, 1, 1), (2, 1, 2)]
+
+
 # ---- packing
 
 
