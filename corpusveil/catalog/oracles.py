@@ -432,6 +432,21 @@ def oracle_sql() -> dict[str, str]:
       SELECT project, path, module_id, c AS n_literals, {java_type('module_id')} AS type, {strip_java_log('text')} AS text FROM jf JOIN jn USING (project, path)
       UNION ALL SELECT project, path, path, c, {react_type('path', 'text')}, {strip_react_log('text')} FROM rf JOIN rn USING (project, path)"""
     # the ways for large dictionaries give the same rows
-    for name in ("w1_rename_text", "l3_mask_literals", "l4_unmask_literals"):
+    # a nested template is one segment, whatever it holds
+    nested = """np AS (SELECT p_partkey, '`it' || chr(39) || 's // ' || repeat('${ x', p_size) || p_name || ' " ` ' || repeat('}', p_size) || '`' AS tpl,
+      chr(39) || p_type || chr(39) AS str, '/* ' || p_brand || ' */' AS note FROM part)"""
+    q["l0_nested_templates"] = f"""WITH {nested}, sg AS (SELECT p_partkey, unnest([{{'kind': 'code', 'text': 'const a = '}}, {{'kind': 'template', 'text': tpl}},
+        {{'kind': 'code', 'text': ' + '}}, {{'kind': 'string', 'text': str}}, {{'kind': 'code', 'text': ';'}}, {{'kind': 'line_comment', 'text': '// size'}},
+        {{'kind': 'code', 'text': {NL} || 'keep('}}, {{'kind': 'block_comment', 'text': note}}, {{'kind': 'code', 'text': ');' || {NL}}}]) AS s, unnest(range(9))::INT AS pos FROM np)
+      SELECT p_partkey, pos, s.kind AS kind, s.text AS text FROM sg"""
+    q["l1_nested_templates"] = f"WITH {nested} SELECT p_partkey, 0 AS pos, str AS literal FROM np"
+    q["w6_nested_templates"] = f"WITH {nested} SELECT p_partkey, 'const a = ' || tpl || ' + ' || str || ';' || {NL} || 'keep();' || {NL} AS text FROM np"
+    found = f"WITH RECURSIVE {JAVA_CLOSURE}, fd AS (SELECT DISTINCT project, path FROM closure WHERE found)"
+    q["extract_end_to_end"] = f"{found} SELECT project, path AS source_path, false AS leaks FROM fd"
+    q["restore_end_to_end"] = f"{found} SELECT project, path, {trim('text')} AS text FROM fd JOIN jf USING (project, path)"
+    for name in (
+        "w1_rename_text", "l3_mask_literals", "l4_unmask_literals", "w2_count_substitutions", "w3_substitution_report", "w4_rename_path",
+        "w4_java_output_path", "v1_reverse_text", "a1_leak_audit",
+    ):
         q[f"{name}_join"] = q[name]
     return dict(sorted(q.items()))

@@ -23,6 +23,7 @@ from corpusveil.operators import rules as R
 from corpusveil.operators import sanitize as S
 from corpusveil.operators.profiles import by_lang
 from corpusveil.plans import extract as X
+from corpusveil.plans import restore as Z
 from corpusveil.session import materialize, shared_dir
 from corpusveil.sources import files as SF
 from corpusveil.sources import mappings as SM
@@ -337,6 +338,26 @@ def w3_substitution_report(spark, sf_dir):
     return W.substitution_report(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)))
 
 
+def w2_count_substitutions_join(spark, sf_dir):
+    rules = R.content_rules(_text_maps(spark))
+    return W.count_substitutions(_documents(spark, sf_dir), ["doc_id"], "text", rules, "n", join=True).select("doc_id", "n")
+
+
+def w3_substitution_report_join(spark, sf_dir):
+    return W.substitution_report(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)), join=True)
+
+
+def w4_rename_path_join(spark, sf_dir):
+    paths = C.react_files(spark, sf_dir).select("project", "path")
+    return W.rename_path(paths, FILE_ID, "path", _web_maps(spark), v.REACT, "target", join=True)
+
+
+def w4_java_output_path_join(spark, sf_dir):
+    files = C.java_files(spark, sf_dir)
+    ids = files.select("project", M.module_id_java(F.col("text"), F.col("path")).alias("module_id"))
+    return W.java_output_path(ids, ["project", "module_id"], "module_id", _code_maps(spark), "target", join=True)
+
+
 def w3_substitutions_by_source(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted = W.count_substitutions(docs, ["doc_id"], "text", R.content_rules(_text_maps(spark)), "n").select("lang", "source", "n")
@@ -412,6 +433,29 @@ def l0_segments(spark, sf_dir):
     return L.segment_table(pages.unionByName(code), ["id"], "text")
 
 
+def _nested_parts(spark, sf_dir) -> DataFrame:
+    """A script for every part with a template nested p_size levels deep, which holds quotes and comment signs."""
+    part = C.table(spark, sf_dir, "part")
+    depth = F.col("p_size").cast("int")
+    text = F.concat(
+        F.lit("const a = "), F.lit("`it's // "), F.repeat(F.lit("${ x"), depth), F.col("p_name"), F.lit(" \" ` "), F.repeat(F.lit("}"), depth), F.lit("`"),
+        F.lit(" + "), F.lit("'"), F.col("p_type"), F.lit("'"), F.lit(";"), F.lit("// size"), F.lit("\nkeep("), F.lit("/* "), F.col("p_brand"), F.lit(" */"), F.lit(");\n"),
+    )
+    return part.select("p_partkey", text.alias("text"))
+
+
+def l0_nested_templates(spark, sf_dir):
+    return L.segment_table(_nested_parts(spark, sf_dir), ["p_partkey"], "text")
+
+
+def l1_nested_templates(spark, sf_dir):
+    return L.extract_literals(_nested_parts(spark, sf_dir), ["p_partkey"], "text", v.REACT)
+
+
+def w6_nested_templates(spark, sf_dir):
+    return _nested_parts(spark, sf_dir).select("p_partkey", T.strip_comments_react(F.col("text")).alias("text"))
+
+
 def l1_extract_literals(spark, sf_dir):
     return L.extract_literals(_pages(spark, sf_dir), ["page_id"], "text", v.SPRING)
 
@@ -484,6 +528,12 @@ def v1_reverse_text(spark, sf_dir):
     return back.select("page_id", "text", "strings_restored", "changed")
 
 
+def v1_reverse_text_join(spark, sf_dir):
+    clean, dictionary = _returned_pages(spark, sf_dir)
+    back = V.reverse_text(clean, ["page_id"], "text", _text_maps(spark), dictionary, join=True)
+    return back.select("page_id", "text", "strings_restored", "changed")
+
+
 def v2_leftover_tokens(spark, sf_dir):
     """Masked pages that come back with a mapping that has no literals."""
     return V.leftovers(l3_mask_literals(spark, sf_dir), ["page_id"], "text", False)
@@ -534,6 +584,10 @@ def a1_leak_audit(spark, sf_dir):
     return A.leak_audit(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)))
 
 
+def a1_leak_audit_join(spark, sf_dir):
+    return A.leak_audit(_documents(spark, sf_dir), ["doc_id"], "text", R.content_rules(_text_maps(spark)), join=True)
+
+
 def a1_leak_audit_clean(spark, sf_dir):
     """Documents after cleaning: only where a target holds another source."""
     rules = R.content_rules(_text_maps(spark))
@@ -569,6 +623,33 @@ def b2_extraction_plan(spark, sf_dir):
     return B.extraction_plan(_java_closure(spark, sf_dir), files, _code_maps(spark), v.SPRING)
 
 
+def _extracted(spark, sf_dir) -> tuple[X.Extraction, str]:
+    """Everything the entries of all projects depend on, cleaned and stored."""
+    code = C.java_files(spark, sf_dir)
+    out = _folder(spark, "handover")
+    done = X.extract(code.select("project", "path", "lang", "text"), C.java_entries(code), v.SPRING, "com.myco", _code_maps(spark), MASK_ONLY)
+    done.save(out, lambda files: files.write.parquet(f"{out}/files"))
+    return done, out
+
+
+def extract_end_to_end(spark, sf_dir):
+    """Files written by the job: where they came from, and that nothing of the mapping is left in them."""
+    _, out = _extracted(spark, sf_dir)
+    files = spark.read.parquet(f"{out}/files")
+    return files.select("project", "source_path", F.contains("text", F.lit("com.myco.")).alias("leaks"))
+
+
+def restore_end_to_end(spark, sf_dir):
+    """What the job wrote, read back and undone with the stored mapping and literals."""
+    _, out = _extracted(spark, sf_dir)
+    maps, literals = X.saved(spark, out)
+    Z.restore(
+        spark.read.parquet(f"{out}/files").select("project", "path", "lang", "text"), "all", maps, literals, v.SPRING, f"{out}/ledger",
+        sink=lambda files: files.write.parquet(f"{out}/restored"), first_run=True,
+    )
+    return spark.read.parquet(f"{out}/restored").select("project", "path", "text")
+
+
 def i1_sanitize_stream(spark, sf_dir):
     """The pages as a stream; the same rows as the batch job."""
     work = _folder(spark, "stream")
@@ -610,7 +691,9 @@ def queries() -> dict[str, Query]:
         r1_expand_forms, r2_expand_rules, r3_package_rules, r4_path_rules, r5_rank_rules, r6_self_maps, r6_duplicates,
         r6_package_cascades, r7_variable_overlaps, r7_validate_mappings, r8_invert_mappings, r9_mapping_fingerprint,
         w1_rename_text, w1_rename_text_join, w1_rename_conversations, w1_rename_many_rules, w2_count_substitutions, w3_substitution_report,
-        w3_substitutions_by_source, w4_rename_path, w4_java_output_path, w5_strip_comments_java, w6_strip_comments_react,
+        w3_substitutions_by_source, w2_count_substitutions_join, w3_substitution_report_join, w4_rename_path_join, w4_java_output_path_join,
+        v1_reverse_text_join, a1_leak_audit_join, l0_nested_templates, l1_nested_templates, w6_nested_templates, extract_end_to_end, restore_end_to_end,
+        w4_rename_path, w4_java_output_path, w5_strip_comments_java, w6_strip_comments_react,
         w7_strip_doc_tags, w8_strip_loggers_java, w9_strip_loggers_react, w10_sanitize, w10_sanitize_pages, w10_sanitize_react,
         l0_segments, l1_extract_literals, l1_extract_event_props, l1_extract_literals_react, l2_build_dictionary,
         l2_seeded_dictionary, l3_mask_literals, l3_mask_literals_join, l3_mask_literals_react, l4_unmask_literals, l4_unmask_literals_join,

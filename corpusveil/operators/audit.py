@@ -9,10 +9,10 @@ from corpusveil.functions.text import strip_spaces
 from corpusveil.operators.rename import rename_text
 
 
-def leak_audit(clean: DataFrame, id_cols: list[str], col: str, rules: DataFrame) -> DataFrame:
+def leak_audit(clean: DataFrame, id_cols: list[str], col: str, rules: DataFrame, join: bool = False) -> DataFrame:
     """Rows of a cleaned corpus that renaming would still touch. A clean corpus is a fixed
     point of its rules, so this table is empty for it."""
-    checked = rename_text(clean.select(*id_cols, col), id_cols, col, rules, "_again", "n_hits")
+    checked = rename_text(clean.select(*id_cols, col), id_cols, col, rules, "_again", "n_hits", join)
     return checked.where(F.col("n_hits") > 0).select(
         *id_cols, "n_hits", (F.col("_again") != F.col(col)).alias("would_change")
     )

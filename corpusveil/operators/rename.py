@@ -319,49 +319,58 @@ def rename_text(
     return _by_vocabulary(df, id_cols, col, out, count, build_vocabulary(df, col, rules), join)
 
 
-def count_substitutions(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str) -> DataFrame:
-    inline = compile_inline(rules)
+def count_substitutions(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, out: str, join: bool = False) -> DataFrame:
+    inline = None if join else compile_inline(rules)
     if inline:
         return df.withColumn(out, inline.count(F.col(col)))
-    return _by_vocabulary(df, id_cols, col, "_renamed", out, build_vocabulary(df, col, rules)).drop("_renamed")
+    return _by_vocabulary(df, id_cols, col, "_renamed", out, build_vocabulary(df, col, rules), join).drop("_renamed")
 
 
-def substitution_report(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame) -> DataFrame:
-    """Per matched form: occurrences and texts it occurs in, over the whole table."""
-    inline = compile_inline(rules)
+def substitution_report(df: DataFrame, id_cols: list[str], col: str, rules: DataFrame, join: bool = False) -> DataFrame:
+    """Per matched form: occurrences and texts it occurs in, over the whole table. Every row is a
+    text of its own, whatever its ids."""
+    inline = None if join else compile_inline(rules)
     if inline:
         # count inside each text first: one row per text and form instead of one per hit
         hits = df.select(inline.matches(F.col(col)).alias("_hits"))
         per_text = hits.select(F.explode(F.array_distinct("_hits")).alias("form"), "_hits").select(
             "form", F.size(F.filter("_hits", lambda h: h == F.col("form"))).alias("_n")
         )
-    else:
-        voc = build_vocabulary(df, col, rules)
-        found = df.select(*id_cols, F.explode(F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))).alias("word"))
-        hits = dictionary_join(found, voc.words.select("word", "forms"), ["word"], id_cols)
-        per_text = (
-            hits.select(*id_cols, F.explode_outer("forms").alias("form")).groupBy(*id_cols, "form").agg(F.count(F.lit(1)).alias("_n"))
-        )
-    return per_text.groupBy("form").agg(F.sum("_n").alias("n_hits"), F.count(F.lit(1)).alias("n_texts"))
+        return per_text.groupBy("form").agg(F.sum("_n").alias("n_hits"), F.count(F.lit(1)).alias("n_texts"))
+    voc = build_vocabulary(df, col, rules)
+    found = df.select(_row_key(id_cols, col), F.explode(F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))).alias("word"))
+    # a word of a text is one row before it meets what it holds
+    counted = found.groupBy("_row", "word").agg(F.count(F.lit(1)).alias("_c"))
+    hits = dictionary_join(counted, voc.words.select("word", "forms"), ["word"], ["_row"])
+    forms = hits.select("_row", "_c", F.explode("forms").alias("form")).groupBy("_row", "form").agg(F.sum("_c").alias("_n"))
+    # rows alike in ids and text share a key: each of them is a text
+    copies = df.select(_row_key(id_cols, col)).groupBy("_row").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    return forms.join(copies, "_row", "left").groupBy("form").agg(
+        F.sum("_n").alias("n_hits"), F.sum(F.coalesce("_copies", F.lit(1).cast("bigint"))).alias("n_texts")
+    )
+
+
+def _row_key(id_cols: list[str], col: str) -> Column:
+    return F.xxhash64(*id_cols, col).alias("_row")
 
 
-def rename_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, lang: str, out: str) -> DataFrame:
+def rename_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, lang: str, out: str, join: bool = False) -> DataFrame:
     """Rename all segments of a path below its base directory."""
-    return rename_text(df, id_cols, col, R.path_rules(mappings, lang), out)
+    return rename_text(df, id_cols, col, R.path_rules(mappings, lang), out, join=join)
 
 
-def java_output_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, out: str) -> DataFrame:
+def java_output_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, out: str, join: bool = False) -> DataFrame:
     """Module id -> cleaned file path: package rules on the whole name, identifier rules
     on its last segment only, then path rules on the path made of it."""
-    named = rename_text(df, id_cols, col, R.package_rules(mappings), "_fqn")
+    named = rename_text(df, id_cols, col, R.package_rules(mappings), "_fqn", join=join)
     dot = r"(?s)^(.*\.)?([^.]*)\z"
     split = named.withColumn("_pkg", F.regexp_extract("_fqn", dot, 1)).withColumn(
         "_cls", F.regexp_extract("_fqn", dot, 2)
     )
-    cleaned = rename_text(split, id_cols, "_cls", R.variable_rules(mappings))
+    cleaned = rename_text(split, id_cols, "_cls", R.variable_rules(mappings), join=join)
     path = F.concat(F.replace(F.concat("_pkg", "_cls"), F.lit("."), F.lit("/")), F.lit(".java"))
     pathed = cleaned.withColumn("_path", path).drop("_fqn", "_pkg", "_cls")
-    return rename_path(pathed, id_cols, "_path", mappings, v.SPRING, out).drop("_path" if out != "_path" else "")
+    return rename_path(pathed, id_cols, "_path", mappings, v.SPRING, out, join).drop("_path" if out != "_path" else "")
 
 
 def output_path(df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, lang: str, out: str) -> DataFrame:

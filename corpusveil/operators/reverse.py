@@ -17,17 +17,18 @@ LEDGER_SCHEMA = "dataset_id STRING, mapping_sha256 STRING, ts TIMESTAMP, renamed
 
 
 def reverse_text(
-    df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, dictionary: DataFrame | None
+    df: DataFrame, id_cols: list[str], col: str, mappings: DataFrame, dictionary: DataFrame | None, join: bool = False
 ) -> DataFrame:
     """df with the restored text in `col` and: changed, strings_restored, substitutions."""
-    staged = df.withColumn("_original", F.col(col))
+    # a digest tells whether a text changed; the text itself need not travel twice
+    staged = df.withColumn("_original", F.sha2(F.col(col), 256))
     if dictionary is None:
         staged = staged.withColumn("strings_restored", F.lit(0))
     else:
-        staged = L.unmask_literals(staged, id_cols, col, dictionary, count="strings_restored")
+        staged = L.unmask_literals(staged, id_cols, col, dictionary, count="strings_restored", join=join)
     back = R.content_rules(R.invert_mappings(mappings))
-    restored = W.rename_text(staged, id_cols, col, back, count="substitutions")
-    return restored.withColumn("changed", F.col(col) != F.col("_original")).drop("_original")
+    restored = W.rename_text(staged, id_cols, col, back, count="substitutions", join=join)
+    return restored.withColumn("changed", F.sha2(F.col(col), 256) != F.col("_original")).drop("_original")
 
 
 def leftovers(restored: DataFrame, id_cols: list[str], col: str, has_dictionary: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from corpusveil.catalog import corpus as C
 from corpusveil.operators import literals as L
 from corpusveil.operators import rename as W
 from corpusveil.operators import rules as R
+from tests.fixtures import mappings_df
 
 ROWS = [(None, 'call("red"); Lamp LampShade'), (1, 'f("red", "blue")'), (1, 'f("blue") + Lamp'), (1, 'f("blue") + Lamp'), (2, None), (3, ""), (None, "none")]
 
@@ -46,3 +47,13 @@ def test_literals_with_control_characters(spark, control):
     df = spark.createDataFrame([(1, f"a lamp{control}shade b Lamp")], "id bigint, text string")
     assert rows(W.rename_text(df, ["id"], "text", rules, join=True)) == rows(W.rename_text(df, ["id"], "text", rules))
     assert W.rename_text(df, ["id"], "text", rules, join=True).where(F.col("text").contains("torch")).count() == 1
+
+
+def test_report_counts_rows_not_ids(spark):
+    """Rows with null, repeated and equal ids, and rows alike in all, are texts of their own in both ways."""
+    rows = [(1, "Lamp Lamp"), (1, "a Lamp"), (None, "Lamp"), (None, "Lamp"), (2, "no"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    rules = R.content_rules(mappings_df(spark, [("variable", 0, "Lamp", "Torch")]))
+    for join in (False, True):
+        got = {r.form: (r.n_hits, r.n_texts) for r in W.substitution_report(df, ["id"], "text", rules, join=join).collect()}
+        assert got == {"Lamp": (5, 4)}
