@@ -278,6 +278,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT set_id, kind, (row_number() OVER (PARTITION BY set_id, kind ORDER BY ord) - 1)::INT AS ord, frm AS "from", dst AS "to" FROM small"""
     q["s3_mappings_from_pairs"] = """SELECT 'cli' AS set_id, 'variable' AS kind, p_partkey::INT AS ord, p_name AS "from", p_brand || '=' || p_type AS "to" FROM part"""
     q["s4_write_mappings"] = f"""WITH {Q.MAPPINGS}, {PAGE_DICT} SELECT kind, frm AS a, dst AS b FROM mp UNION ALL SELECT 'literal', token, literal FROM dict"""
+    q["s2_whole_sets"] = f"""WITH {Q.MAPPINGS} SELECT set_id, kind, (row_number() OVER (PARTITION BY set_id, kind ORDER BY ord, frm, dst) - 1)::INT AS ord,
+      frm AS "from", dst AS "to" FROM mp"""
+    q["s4_whole_sets"] = f"""WITH {Q.MAPPINGS}, {PAGE_DICT} SELECT set_id, kind, frm AS a, dst AS b FROM mp UNION ALL SELECT 'pages', 'literal', token, literal FROM dict"""
     both = f"{Q.JAVA_FILES}, {Q.REACT_FILES.replace(Q.PARTS + ',', '')}"
     q["s5_write_clean"] = f"WITH {both} SELECT project, 'spring' AS lang, path, text FROM jf UNION ALL SELECT project, 'react', path, text FROM rf"
     q["s6_snapshot"] = f"WITH {Q.JAVA_FILES} SELECT project, path, text FROM jf"

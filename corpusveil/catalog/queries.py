@@ -105,6 +105,27 @@ def s4_write_mappings(spark, sf_dir):
     return pairs.unionByName(SM.literals_of(parsed).select(F.lit("literal").alias("kind"), F.col("token").alias("a"), F.col("literal").alias("b")))
 
 
+#: Small documents, so that the sets of the given tables come in several.
+PART_BYTES = 10_000
+
+
+def s2_whole_sets(spark, sf_dir):
+    """The mapping sets of the data as they are, published in documents of bounded size and read again."""
+    path = _folder(spark, "published")
+    SM.publish_mappings(C.mappings(spark, sf_dir), None, v.SPRING, path, PART_BYTES)
+    return SM.pairs_of(SM.published_mappings(spark, path))
+
+
+def s4_whole_sets(spark, sf_dir):
+    """As s4_write_mappings, with every set as it is and all literals in one."""
+    lits = _page_dictionary(spark, sf_dir).withColumn("set_id", F.lit("pages"))
+    path = _folder(spark, "published")
+    SM.publish_mappings(C.mappings(spark, sf_dir), lits, v.SPRING, path, PART_BYTES)
+    parsed = SM.published_mappings(spark, path)
+    pairs = SM.pairs_of(parsed).select("set_id", "kind", F.col("from").alias("a"), F.col("to").alias("b"))
+    return pairs.unionByName(SM.literals_of(parsed).select("set_id", F.lit("literal").alias("kind"), F.col("token").alias("a"), F.col("literal").alias("b")))
+
+
 def s5_write_clean(spark, sf_dir):
     path = _folder(spark, "clean")
     SF.write_clean(_all_files(spark, sf_dir), path)
@@ -692,7 +713,7 @@ def queries() -> dict[str, Query]:
         r6_package_cascades, r7_variable_overlaps, r7_validate_mappings, r8_invert_mappings, r9_mapping_fingerprint,
         w1_rename_text, w1_rename_text_join, w1_rename_conversations, w1_rename_many_rules, w2_count_substitutions, w3_substitution_report,
         w3_substitutions_by_source, w2_count_substitutions_join, w3_substitution_report_join, w4_rename_path_join, w4_java_output_path_join,
-        v1_reverse_text_join, a1_leak_audit_join, l0_nested_templates, l1_nested_templates, w6_nested_templates, extract_end_to_end, restore_end_to_end,
+        v1_reverse_text_join, a1_leak_audit_join, l0_nested_templates, l1_nested_templates, w6_nested_templates, s2_whole_sets, s4_whole_sets, extract_end_to_end, restore_end_to_end,
         w4_rename_path, w4_java_output_path, w5_strip_comments_java, w6_strip_comments_react,
         w7_strip_doc_tags, w8_strip_loggers_java, w9_strip_loggers_react, w10_sanitize, w10_sanitize_pages, w10_sanitize_react,
         l0_segments, l1_extract_literals, l1_extract_event_props, l1_extract_literals_react, l2_build_dictionary,

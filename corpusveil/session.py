@@ -8,7 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -23,6 +23,10 @@ SETTINGS = {
 }
 
 
+#: Rows whose running sum one window makes.
+RUN = 1 << 16
+
+
 def build_session(name: str = "corpusveil", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this package is tuned for."""
     builder = SparkSession.builder.appName(name)
@@ -136,3 +140,22 @@ def number_rows(df: DataFrame, order: list, column: str, start: int = 0) -> Data
         .withColumn(column, F.col("_base") + F.col("_pos"))
         .drop("_part", "_pos", "_base")
     )
+
+
+def running_sums(df: DataFrame, order: list, value: str, place: str, before: str) -> DataFrame:
+    """df with each row's position in the total order and the sum of `value` over the rows before
+    it, without one task seeing all rows: as number_rows, with partial sums per partition."""
+    numbered = number_rows(df, order, place)
+    stored = materialize(numbered.withColumn("_part", F.floor(F.col(place) / RUN)), before)
+    within = Window.partitionBy("_part").orderBy(place)
+    sums = stored.groupBy("_part").agg(F.sum(value).alias("_s"))
+    # a row for each RUN rows: they are summed up the same way until few are left
+    few = sums.limit(RUN + 1).count() <= RUN
+    if few:
+        bases = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_base"))
+    else:
+        bases = running_sums(sums.withColumnRenamed("_part", "_of"), ["_of"], "_s", "_place", "_base").select(F.col("_of").alias("_part"), "_base")
+    return (
+        stored.withColumn("_own", F.sum(value).over(within) - F.col(value)).join(bases, "_part")
+        .withColumn(before, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+    )

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
 from corpusveil.operators.literals import with_index
+from corpusveil.plans.joins import dictionary_join
+from corpusveil.session import materialize, read_or_first, running_sums
 
-JSON_MAX_ENTRIES = 100_000
+#: Bytes of a mapping document, one entry over at most; a larger set comes in several.
+DOCUMENT_BYTES = 4_000_000
+KINDS = ("package", "variable", "literal")
 PAIRS = "set_id string, kind string, ord int, `from` string, `to` string"
 
 
 def parse_mappings(docs: DataFrame) -> DataFrame:
-    """(set_id, doc) -> set_id, version, language, package, variable, strings. A bare list
-    holds package pairs; absent sections become empty; the version becomes current."""
+    """(set_id, doc) -> set_id, version, language, package, variable, strings, and the places of the
+    first pairs in their set. A bare list holds package pairs; absent sections become empty;
+    the version becomes current."""
     failfast = {"mode": "FAILFAST"}
     text = F.btrim("doc", F.lit(v.SPACE_CHARS))
     is_list = F.startswith(text, F.lit("["))
@@ -22,13 +29,15 @@ def parse_mappings(docs: DataFrame) -> DataFrame:
     listed = F.from_json(F.when(is_list, text), pair_list, failfast)
     whole = F.from_json(F.when(~is_list, text), v.MAPPING_JSON_SCHEMA, failfast)
     none = F.array().cast(pair_list)
-    return docs.select("set_id", listed.alias("l"), whole.alias("d")).select(
+    first = F.from_json(F.when(~is_list, text), "at struct<package: int, variable: int>")
+    return docs.select("set_id", listed.alias("l"), whole.alias("d"), first.alias("f")).select(
         "set_id",
         F.lit(v.MAPPING_VERSION).alias("version"),
         F.col("d.language").alias("language"),
         F.coalesce("l", "d.package", none).alias("package"),
         F.coalesce("d.variable", none).alias("variable"),
         F.coalesce("d.strings", F.from_json(F.lit("{}"), "map<string,string>")).alias("strings"),
+        *[F.coalesce(F.col(f"f.at.{kind}"), F.lit(0)).alias(f"at_{kind}") for kind in ("package", "variable")],
     )
 
 
@@ -36,8 +45,8 @@ def pairs_of(parsed: DataFrame) -> DataFrame:
     """Parsed sets -> mappings (set_id, kind, ord, from, to). Pairs stay as they are; those
     with an empty side are dropped where rules are made."""
     def side(kind: str) -> DataFrame:
-        return parsed.select("set_id", F.lit(kind).alias("kind"), F.posexplode(kind).alias("ord", "p")).select(
-            "set_id", "kind", "ord", F.col("p.from").alias("from"), F.col("p.to").alias("to")
+        return parsed.select("set_id", F.lit(kind).alias("kind"), f"at_{kind}", F.posexplode(kind).alias("ord", "p")).select(
+            "set_id", "kind", (F.col("ord") + F.col(f"at_{kind}")).alias("ord"), F.col("p.from").alias("from"), F.col("p.to").alias("to")
         )
 
     return side("package").unionByName(side("variable"))
@@ -85,60 +94,81 @@ def append_pairs(mappings: DataFrame, more: DataFrame) -> DataFrame:
     return mappings.unionByName(moved.select(*mappings.columns))
 
 
-def mapping_documents(mappings: DataFrame, literals: DataFrame | None, language: str) -> DataFrame:
-    """(set_id, doc): one JSON document per set with all pairs in order and all literals. A
-    set is gathered in one row: for sets of checked size, see write_mappings."""
-    def side(kind: str) -> DataFrame:
-        rows = mappings.where(F.col("kind") == kind)
-        return rows.groupBy("set_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("ord", "from", "to"))),
-                lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to")),
-            ).alias(kind)
-        )
+def mapping_documents(mappings: DataFrame, literals: DataFrame | None, language: str, size: int = DOCUMENT_BYTES) -> DataFrame:
+    """(set_id, part, doc): JSON documents of at most `size` bytes and one entry, with all pairs of
+    every set in order, then its literals. Each part is a mapping document of its own; `at`
+    says where its pairs stand in the set. Running sums plan the parts, so a set of any size is
+    never one row."""
 
-    sets = mappings.select("set_id")
-    if literals is not None:
-        sets = sets.unionByName(literals.select("set_id"))
-    docs = sets.distinct().join(side("package"), "set_id", "left").join(side("variable"), "set_id", "left")
-    no_strings = F.from_json(F.lit("{}"), "map<string,string>")
+    def entries(rows: DataFrame, kind: int, order: str, left: str, right: str) -> DataFrame:
+        return rows.select("set_id", F.lit(kind).alias("kind"), F.col(order).cast("bigint").alias("ord"), F.col(left).alias("a"), F.col(right).alias("b"))
+
+    every = entries(mappings.where("kind = 'package'"), 0, "ord", "from", "to").unionByName(entries(mappings.where("kind = 'variable'"), 1, "ord", "from", "to"))
     if literals is not None:
-        strings = literals.groupBy("set_id").agg(
-            F.map_from_entries(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("idx", "token", "literal"))),
-                    lambda x: F.struct(x["token"], x["literal"]),
-                )
-            ).alias("strings")
-        )
-        docs = docs.join(strings, "set_id", "left")
-    else:
-        docs = docs.withColumn("strings", no_strings)
-    none = F.array().cast("array<struct<`from`: string, `to`: string>>")
-    return docs.select(
-        "set_id",
-        F.to_json(
-            F.struct(
-                F.lit(v.MAPPING_VERSION).alias("version"), F.lit(language).alias("language"),
-                F.coalesce("package", none).alias("package"), F.coalesce("variable", none).alias("variable"),
-                F.coalesce("strings", no_strings).alias("strings"),
-            )
-        ).alias("doc"),
+        every = every.unionByName(entries(literals, 2, "idx", "token", "literal"))
+    sized = every.withColumn("bytes", F.coalesce(F.octet_length("a"), F.lit(0)) + F.coalesce(F.octet_length("b"), F.lit(0)) + F.lit(20))
+    placed = materialize(running_sums(sized, ["set_id", "kind", "ord", "a", "b"], "bytes", "place", "before"), "entries")
+    starts = placed.groupBy("set_id", "kind").agg(F.min("place").alias("first"), F.min("before").alias("begin"))
+    sets = starts.groupBy("set_id").agg(F.min("begin").alias("begin"), *[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(f"first_{k}") for k in (0, 1)])
+    parted = dictionary_join(placed.drop("bytes"), materialize(sets, "sets"), ["set_id"], ["place"]).withColumn(
+        "part", F.floor((F.col("before") - F.col("begin")) / size)
+    )
+
+    def of(kind: int, entry: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "a", "b")))), lambda e: F.struct(*entry(e)))
+
+    def pairs(kind: int) -> Column:
+        return of(kind, lambda e: [e["a"].alias("from"), e["b"].alias("to")]).alias(KINDS[kind])
+
+    def at(kind: int) -> Column:
+        return F.coalesce(F.min(F.when(F.col("kind") == kind, F.col("place") - F.col(f"first_{kind}"))), F.lit(0)).cast("int").alias(KINDS[kind])
+
+    made = parted.groupBy("set_id", "part").agg(
+        pairs(0), pairs(1), F.map_from_entries(of(2, lambda e: [e["a"], e["b"]])).alias("strings"), F.struct(at(0), at(1)).alias("at")
+    )
+    return made.select(
+        "set_id", "part",
+        F.to_json(F.struct(F.lit(v.MAPPING_VERSION).alias("version"), F.lit(language).alias("language"), "package", "variable", "strings", "at")).alias("doc"),
     )
 
 
-def _largest_set(df: DataFrame) -> int:
-    sizes = df.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+def write_mappings(mappings: DataFrame, literals: DataFrame | None, language: str, path: str, size: int = DOCUMENT_BYTES) -> None:
+    """Mapping sets as JSON documents, one per line; see mapping_documents."""
+    mapping_documents(mappings, literals, language, size).select("doc").write.mode("overwrite").text(path)
+
+
+MANIFEST = "version bigint, folder string, documents bigint"
+
+
+def publish_mappings(mappings: DataFrame, literals: DataFrame | None, language: str, path: str, size: int = DOCUMENT_BYTES) -> int:
+    """Store all sets under `path` as a new version and return its number. Documents are written
+    to a folder of their own first; one more row of the manifest then makes them the current
+    version at once. Whoever reads meanwhile sees the version before."""
+    spark = mappings.sparkSession
+    known = _manifest(spark, path)
+    version = 1 + max((r["version"] for r in known), default=0)  # one row per version
+    folder = f"documents-{version}-{uuid.uuid4().hex}"
+    mapping_documents(mappings, literals, language, size).write.parquet(f"{path}/{folder}")
+    n = spark.read.parquet(f"{path}/{folder}").count()
+    spark.createDataFrame([(version, folder, n)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def published_mappings(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Parsed sets of a published version (the last one): (set_id, package, variable, strings, ...). Nothing
+    published, and documents that are no longer whole, are errors."""
+    wanted = [r for r in _manifest(spark, path) if version is None or r["version"] == version]
+    if not wanted:
+        raise ValueError(f"no mapping published under {path}")
+    last = max(wanted, key=lambda r: (r["version"], r["folder"]))
+    docs = spark.read.schema("set_id string, part bigint, doc string").parquet(f"{path}/{last['folder']}")
+    if docs.count() != last["documents"]:
+        raise ValueError(f"{path}/{last['folder']} does not hold the {last['documents']} documents of its manifest")
+    return parse_mappings(docs)
 
 
-def write_mappings(mappings: DataFrame, literals: DataFrame | None, language: str, path: str) -> None:
-    """Mapping sets as JSON documents, one per line. A document is one row, so the size of
-    every set is checked first; with larger sets use write_mapping_tables."""
-    for part in [mappings, literals] if literals is not None else [mappings]:
-        if _largest_set(part) > JSON_MAX_ENTRIES:
-            raise ValueError("a set has too many entries for one JSON document: use write_mapping_tables")
-    mapping_documents(mappings, literals, language).select("doc").write.mode("overwrite").text(path)
+def _manifest(spark: SparkSession, path: str) -> list:
+    return read_or_first(spark, MANIFEST, f"{path}/manifest", True).collect()
 
 
 def write_mapping_tables(mappings: DataFrame, literals: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusveil.operators import sanitize as S
 from corpusveil.sources import files as SF
+from corpusveil.session import running_sums
 from corpusveil.sources import mappings as SM
 from corpusveil.streaming import incremental as I
 from tests.fixtures import JAVA_FILES, JAVA_MAPPING, files_df, mappings_df
@@ -119,3 +120,42 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     I.clean_batch(spark.createDataFrame(docs[10:20], schema), 1, ["id"], "text", maps, opts, "spring", ["id"], dic, out)
     assert I.read_dictionary(spark, dic).exceptAll(d.select("token", "idx", "literal")).collect() == []
     assert spark.read.parquet(out).count() == 40
+
+
+def test_published_sets_of_any_size(spark, tmp_path):
+    """One set far larger than a document; versions appear at once, and broken ones are told."""
+    n = 3000
+    maps = spark.range(n).select(
+        F.lit("big").alias("set_id"), F.when(F.col("id") % 3 == 0, "package").otherwise("variable").alias("kind"), (n - F.col("id")).cast("int").alias("ord"),
+        F.concat(F.lit("from"), "id").alias("from"), F.concat(F.lit("to"), "id").alias("to"),
+    )
+    lits = spark.range(50).select(F.lit("big").alias("set_id"), F.concat(F.lit("STR_"), "id").alias("token"), F.col("id").alias("idx"), F.repeat(F.lit("x"), F.col("id").cast("int") * 100).alias("literal"))
+    path = str(tmp_path / "sets")
+    with pytest.raises(ValueError):
+        SM.published_mappings(spark, path)
+    assert SM.publish_mappings(maps, lits, "spring", path, 2_000) == 1
+    docs = SM.mapping_documents(maps, lits, "spring", 2_000).select(F.length("doc").alias("n"), F.col("part")).collect()
+    assert len(docs) > 50 and max(r.n for r in docs) < 10_000
+    parsed = SM.published_mappings(spark, path)
+    want = sorted((r.kind, r["from"], r["to"]) for r in maps.collect())
+    got = SM.pairs_of(parsed).collect()
+    assert sorted((r.kind, r["from"], r["to"]) for r in got) == want
+    for kind in ("package", "variable"):
+        of = sorted((r.ord, int(r["from"][4:])) for r in got if r.kind == kind)
+        assert [o for o, _ in of] == list(range(len(of))) and [i for _, i in of] == sorted((i for _, i in of), reverse=True)
+    assert {(r.token, r.literal) for r in SM.literals_of(parsed).collect()} == {(r.token, r.literal) for r in lits.collect()}
+    assert SM.publish_mappings(maps.limit(1), None, "spring", path) == 2
+    assert SM.pairs_of(SM.published_mappings(spark, path)).count() == 1 and SM.pairs_of(SM.published_mappings(spark, path, 1)).count() == n
+    spark.createDataFrame([(3, "documents-3-gone", 4)], SM.MANIFEST).write.mode("append").parquet(f"{path}/manifest")
+    with pytest.raises(Exception):
+        SM.published_mappings(spark, path)
+    assert SM.mapping_documents(maps.limit(0), None, "spring").count() == 0
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr("corpusveil.session.RUN", 7)
+    df = spark.range(300).select("id", (F.col("id") * 37 % 11).alias("v"))
+    got = running_sums(df, [F.col("id").desc()], "v", "place", "before").collect()
+    rows = sorted(got, key=lambda r: -r.id)
+    assert [r.place for r in rows] == list(range(300))
+    assert [r.before for r in rows] == [sum(r.v for r in rows[:k]) for k in range(300)]
