@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusveil.llm.frames import only_keys
-from corpusveil.llm.text_hash import mix, parts, shingle_sets
+from corpusveil.llm.text_hash import mix, shingle_sets
 from corpusveil.session import materialize
 
 #: Size of the model: terms, known words near a term, slots of context words.
@@ -353,15 +353,12 @@ def _context_counts(shared):
 
 
 def _marked(batches):
-    """Batches of (id, text, toxic) -> with the least of the text's shingle hashes under each of COPY_SEEDS."""
+    """Batches of (id, key, text) -> (id, key, marks): the least of the text's shingle hashes under each of COPY_SEEDS."""
     for batch in batches:
-        low = 0
-        for part in parts(batch.column(1)):
-            marks = []
-            for tokens in shingle_sets(part, 3):
-                marks.append([int(mix(tokens ^ np.uint64(seed)).min().view(np.int64)) for seed in COPY_SEEDS] if len(tokens) else [])
-            yield pa.RecordBatch.from_arrays([*(c.slice(low, len(part)) for c in batch.columns), pa.array(marks, pa.list_(pa.int64()))], ["id", "text", "toxic", "marks"])
-            low += len(part)
+        marks = []
+        for tokens in shingle_sets(batch.column(2), 3):
+            marks.append([int(mix(tokens ^ np.uint64(seed)).min().view(np.int64)) for seed in COPY_SEEDS] if len(tokens) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.list_(pa.int64()))], ["id", "key", "marks"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -372,15 +369,15 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     smallest id stays. Only texts that may have a label move. Rows without id or label, and
     texts without a word, take no part; of several labels of an id the highest holds.
     """
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    texts = only_keys(rows, "_id", marks).join(marks, "_id").select(F.col("_id").cast("bigint").alias("id"), "text", "toxic")
-    marked = materialize(texts.mapInArrow(_marked, "id bigint, text string, toxic int, marks array<bigint>").where(F.size("marks") > 0).withColumn("key", F.xxhash64("text")), "labelled")
-    of = F.struct("id", "key")
-    each = marked.select(of.alias("of"), F.posexplode("marks").alias("band", "mark"))
-    first = each.groupBy("band", "mark").agg(F.min("of").alias("of"))
-    stay = first.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(COPY_SEEDS)).select("of.*")
-    return materialize(marked.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("text", "toxic"), "training")
+    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    # texts are hashed where they stand; only those that stay move
+    marked = only_keys(rows, "id", marks).mapInArrow(_marked, "id bigint, key bigint, marks array<bigint>").where(F.size("marks") > 0)
+    known = materialize(marked.join(marks, "id"), "labelled")
+    first = known.select(F.struct("id", "key", "toxic").alias("of"), F.posexplode("marks").alias("band", "mark")).groupBy("band", "mark").agg(F.min("of").alias("of"))
+    stay = materialize(first.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(COPY_SEEDS)).select("of.*"), "stay")
+    found = only_keys(rows, "id", stay).join(stay, ["id", "key"])
+    return materialize(found.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "training")
 
 
 def fit(train: DataFrame) -> Model:
