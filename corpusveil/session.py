@@ -154,7 +154,7 @@ def running_sums(df: DataFrame, order: list, value: str, place: str, before: str
     if few:
         bases = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_base"))
     else:
-        bases = running_sums(sums.withColumnRenamed("_part", "_of"), ["_of"], "_s", "_place", "_base").select(F.col("_of").alias("_part"), "_base")
+        bases = running_sums(sums.withColumnRenamed("_part", "_of"), ["_of"], "_s", "_place", "_begin").select(F.col("_of").alias("_part"), F.col("_begin").alias("_base"))
     return (
         stored.withColumn("_own", F.sum(value).over(within) - F.col(value)).join(bases, "_part")
         .withColumn(before, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
