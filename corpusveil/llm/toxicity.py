@@ -32,7 +32,7 @@ WINDOW, PRIOR, MOST = 5, 20.0, 4.0
 #: What quotation says before any is seen: so many quoted hits, this share of them toxic.
 QUOTED_SEEN, QUOTED_TOXIC = 2.0, 0.5
 #: Least hashes that tell copies among the training texts.
-COPY_SEEDS = (0x1F83D9AB, 0x5BE0CD19, 0x6A09E667, 0x3C6EF372)
+COPY_SEEDS = tuple(range(0x1F83D9AB, 0x1F83D9AB + 8))
 #: Distinct words that a task counts before it passes them on; characters matched at once.
 FLUSH, PART = 200_000, 1 << 18
 #: Signs that stand for letters inside a word, and quotation marks.
@@ -282,6 +282,13 @@ def _sure(n1, n0, base: float):
     return F.when(p > base, n * (part(p, F.lit(base)) + part(1 - p, F.lit(1 - base)))).otherwise(F.lit(0.0))
 
 
+def _surely(n1: int, n0: int, base: float) -> float:
+    """As _sure, of two numbers."""
+    p = n1 / (n1 + n0)
+    rest = (1 - p) * np.log((1 - p) / (1 - base)) if n0 else 0.0
+    return (n1 + n0) * (p * np.log(p / base) + rest) if p > base else 0.0
+
+
 def _lexicon(counts: DataFrame, base: float) -> tuple[list[tuple[str, bool]], dict[tuple[str, bool], tuple[int, int]]]:
     """Terms of which it is sure, at the number of words looked at, that they are toxic. At most TERMS words and
     TERMS stems (with 4 lengths each) reach the driver, the surest ones."""
@@ -299,14 +306,22 @@ def _lexicon(counts: DataFrame, base: float) -> tuple[list[tuple[str, bool]], di
         for df, stem, most in ((stems, True, 4 * TERMS), (words, False, TERMS))
         for r in df.orderBy(F.desc("sure"), F.desc(chars), "word").limit(most).select("word", "n1", "n0", "sure").collect()
     ]
-    # the surest first, of equally sure ones the longest; a term that holds another, or is held by it, says nothing new
+    # the surest first, of equally sure ones the longest; a stem must say something beyond the terms it holds
     terms: dict[tuple[str, bool], tuple[int, int]] = {}
-    heads: set[str] = set()
-    for _, _, whole, word, seen in sorted(found):
-        held = any((word[:k], True) in terms for k in range(1, len(word) + 1))
-        if len(terms) < TERMS and not held and (whole or word not in heads) and (word, True) not in terms:
-            terms[word, not whole] = seen
-            heads.update(word[:k] for k in range(1, len(word) + 1))
+    taken: dict[str, list[int]] = {}
+    for _, _, whole, word, (n1, n0) in sorted(found):
+        heads = [word[:k] for k in range(1, len(word) + 1)]
+        if len(terms) == TERMS or any((h, True) in terms for h in heads):
+            continue
+        t1, t0 = taken.get(word, (0, 0))
+        if not whole and t1 + t0:
+            n1, n0 = n1 - t1, n0 - t0
+            if n1 < STEM_WORDS or n1 < STEM_SHARE * (n1 + n0) or _surely(n1, n0, base) <= need:
+                continue
+        terms[word, not whole] = (n1, n0)
+        for h in heads:
+            t = taken.setdefault(h, [0, 0])
+            t[0], t[1] = t[0] + n1, t[1] + n0
     order = sorted(terms)
     return order, {t: terms[t] for t in order}
 
@@ -365,8 +380,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(text, toxic) of the texts with a label, one of each group of copies and near copies, as words
     of a text that was copied a thousand times say no more than those of one.
 
-    Of texts that agree in the least of their shingle hashes under any of COPY_SEEDS, the one with the
-    smallest id stays. Only texts that may have a label move. Rows without id or label, and
+    A text stays if it has the smallest id of those with its least shingle hash, under more than half of
+    COPY_SEEDS: near copies seldom do, texts that only share a passage nearly always. Only texts that may have a label move. Rows without id or label, and
     texts without a word, take no part; of several labels of an id the highest holds.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
@@ -375,7 +390,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = only_keys(rows, "id", marks).mapInArrow(_marked, "id bigint, key bigint, marks array<bigint>").where(F.size("marks") > 0)
     known = materialize(marked.join(marks, "id"), "labelled")
     first = known.select(F.struct("id", "key", "toxic").alias("of"), F.posexplode("marks").alias("band", "mark")).groupBy("band", "mark").agg(F.min("of").alias("of"))
-    stay = materialize(first.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(COPY_SEEDS)).select("of.*"), "stay")
+    stay = materialize(first.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") > len(COPY_SEEDS)).select("of.*"), "stay")
     found = only_keys(rows, "id", stay).join(stay, ["id", "key"])
     return materialize(found.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "training")
 
