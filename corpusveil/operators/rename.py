@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.functions.columns import bucket_lookup, collect_dictionary, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
-from corpusveil.plans.joins import dictionary_join, substitute
+from corpusveil.plans.joins import dictionary_join, fits_broadcast, salted_join, substitute
 from corpusveil.session import materialize, parallelism
 
 INLINE_LITERALS = 600
@@ -172,6 +172,102 @@ def _word_class(literals: DataFrame) -> str:
     return f"[A-Za-z0-9_{extra}]"
 
 
+GRAM = 4
+PIECE_CHARS = 1_024
+#: Longest literal that is its own key; a longer one is known by its hash and length.
+KEY_CHARS = 64
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Every run of n characters, the k-th of which begins at place k. A match takes one whole
+    character, so a character outside the basic plane is one place too."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
+
+
+def anchor_index(literals: DataFrame, words: DataFrame) -> DataFrame:
+    """Where to look for literals in words: gram, skip, len. A literal of GRAM characters or more
+    is looked for by the one of its grams that is rarest in the words, `skip` characters into it;
+    one with a gram that no word has is not looked for. A shorter literal is its own gram.
+
+    Literals that agree in all three are one row, so a place opens a row per class of length and
+    not per literal."""
+    known = F.when(F.length("literal") <= KEY_CHARS, F.col("literal")).otherwise(F.sha2("literal", 256))
+    long = literals.where(F.length("literal") >= GRAM).select(
+        known.alias("key"), F.length("literal").alias("len"), F.posexplode(_grams(F.col("literal"), GRAM)).alias("skip", "gram")
+    )
+    counts = words.select(F.explode(_grams(F.col("word"), GRAM)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        long.join(counts, "gram", "left")
+        .groupBy("key", "len")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skip", "gram")).alias("a"))
+        .where("a.n > 0")
+    )
+    short = literals.where(F.length("literal") < GRAM).select(
+        F.col("literal").alias("gram"), F.lit(0).alias("skip"), F.length("literal").alias("len")
+    )
+    return rarest.select("a.gram", "a.skip", "len").unionByName(short).distinct()
+
+
+def _inner_places(words: DataFrame, literals: DataFrame, lengths: list[int]) -> DataFrame:
+    """Places inside words where a literal may stand: word, at, len, literal, and which
+    surroundings hold there. Only places with an anchor are opened.
+
+    A word is read in pieces of bounded length with as much around them as the longest literal
+    needs, so the work is linear in the length of a word, which is a whole text where
+    literals hold blanks."""
+    longest = lengths[-1]
+    index = materialize(anchor_index(literals, words), "anchors")
+    step = max(PIECE_CHARS, 4 * longest)
+    cut = words.select(
+        "word", F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / step).cast("int"))).alias("_piece")
+    ).withColumn("_base", F.col("_piece") * step)
+    # the character before the word is a blank; `around` begins _low characters into both
+    low = F.greatest(F.col("_base") - longest - 1, F.lit(0))
+    around = F.substr(F.concat(F.lit(" "), "word"), low + 1, F.lit(step + 2 * longest + GRAM + 4))
+    sizes = sorted({min(n, GRAM) for n in lengths})
+    core = F.substr("word", F.col("_base") + 1, F.lit(step + GRAM - 1))
+    runs = F.concat(
+        *[F.transform(_grams(core, n), lambda g, i: F.struct(i.cast("int").alias("at"), g.alias("gram"))) for n in sizes]
+    )
+
+    def opened(places: DataFrame) -> DataFrame:
+        return places.withColumn("at", F.col("_base") + F.col("_run.at") - F.col("skip")).where("at >= 0")
+
+    if fits_broadcast(index):
+        # made before the rows: what stands beside a generator is computed for each of its rows
+        whole = cut.select("word", "_base", low.alias("_low"), around.alias("_around"), runs.alias("_runs"))
+        seen = whole.select("word", "_base", "_low", "_around", F.explode("_runs").alias("_run"))
+        hits = opened(seen.withColumn("gram", F.col("_run.gram")).join(F.broadcast(index), "gram"))
+    else:
+        # only the name of a piece travels with a place. Words that share a name are opened at each
+        # other's places too, where they hold the literals they hold
+        named = cut.withColumn("_word", F.xxhash64("word"))
+        seen = named.select("_word", "_piece", "_base", F.explode(runs).alias("_run")).withColumn("gram", F.col("_run.gram"))
+        places = opened(salted_join(seen, index, ["gram"], ["_word", "_piece", "_run"])).select("_word", "_piece", "at", "len").distinct()
+        hits = named.select("_word", "_piece", "word", low.alias("_low"), around.alias("_around")).join(places, ["_word", "_piece"])
+    # the character before the place, the literal and two characters after it
+    # (generated, so that it is cut out once and not for every use)
+    window = F.substr("_around", F.col("at") - F.col("_low") + 1, F.col("len") + 3)
+    placed = hits.select("word", "at", "len", F.explode(F.array(window)).alias("w"))
+
+    def between(c: Column, *ranges: str) -> Column:
+        return reduce(Column.__or__, [(c >= r[0]) & (c <= r[-1]) for r in ranges])
+
+    before, first = F.substr("w", F.lit(1), F.lit(1)), F.substr("w", F.lit(2), F.lit(1))
+    one, two = F.substr("w", F.col("len") + 2, F.lit(1)), F.substr("w", F.col("len") + 3, F.lit(1))
+    opens, closes = ~between(before, "az", "AZ", "09"), ~between(one, "az", "AZ", "09")
+    flags = {
+        "package": opens & (before != "_") & closes & (one != "_"),
+        "standalone": opens & (before != "_") & closes,
+        "upper_prefix": (one == "_") & between(two, "AZ"),
+        "prefix": between(one, "AZ"),
+        "pascal_suffix": between(before, "az") & between(first, "AZ"),
+    }
+    return placed.where((F.length("w") > F.col("len")) & reduce(Column.__or__, flags.values())).select(
+        "word", "at", "len", F.substr("w", F.lit(2), F.col("len")).alias("literal"), *[c.alias(name) for name, c in flags.items()]
+    )
+
+
 def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary:
     """Rename every distinct word of texts[col] once."""
     table = literal_table(rules)
@@ -193,7 +289,6 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
     # few bytes but much work per word: do not let the planner merge them into few tasks
     words = materialize(words.repartition(parallelism(texts.sparkSession), "word"), "words")
     yes, no = F.lit(True), F.lit(False)
-
     # most words have no inner capital, underscore or other edge: only the whole word can match
     plain = F.rlike("word", F.lit("^[A-Za-z]?[a-z0-9]*$"))
     whole = words.where(plain & (F.length("word") <= longest)).select(
@@ -201,40 +296,7 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
         yes.alias("package"), yes.alias("standalone"), no.alias("upper_prefix"), no.alias("prefix"), no.alias("pascal_suffix"),
     )
 
-    # the others: a window per place with the character before it, the longest literal and two after
-    def between(c: Column, *ranges: str) -> Column:
-        return reduce(Column.__or__, [(c >= r[0]) & (c <= r[-1]) for r in ranges])
-
-    window = F.lit("(?s)(?=(.{2,%d}))" % (longest + 3))
-    places = words.where(~plain).select(
-        "word", F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), "word"), window, F.lit(1))).alias("at", "w")
-    )
-    before, first = F.substr("w", F.lit(1), F.lit(1)), F.substr("w", F.lit(2), F.lit(1))
-    placed = places.select(
-        "word", "at", "w",
-        (~between(before, "az", "AZ", "09") & (before != "_")).alias("open"),
-        (between(before, "az") & between(first, "AZ")).alias("pascal_suffix"),
-    )
-
-    def after(n: Column) -> dict[str, Column]:
-        one, two = F.substr("w", n + 2, F.lit(1)), F.substr("w", n + 3, F.lit(1))
-        return {
-            "package": F.col("open") & ~between(one, "az", "AZ", "09") & (one != "_"),
-            "standalone": F.col("open") & ~between(one, "az", "AZ", "09"),
-            "upper_prefix": (one == "_") & between(two, "AZ"),
-            "prefix": between(one, "AZ"),
-        }
-
-    # most places of a word allow nothing: they are dropped before a row is made of them
-    usable = F.filter(
-        F.array(*[F.lit(n) for n in lengths]),
-        lambda n: (F.length("w") > n)
-        & (F.col("pascal_suffix") | reduce(Column.__or__, [c for k, c in after(n).items() if k != "package"])),
-    )
-    inner = placed.select("*", F.explode(usable).alias("len")).select(
-        "word", "at", "len", F.substr("w", F.lit(2), F.col("len")).alias("literal"),
-        *[c.alias(name) for name, c in after(F.col("len")).items()], "pascal_suffix",
-    )
+    inner = _inner_places(words.where(~plain), literals, lengths)
     edged = whole.unionByName(inner)
     hits = dictionary_join(edged, literals, ["literal"], ["word"])
     by_shape = F.lit(False)

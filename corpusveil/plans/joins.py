@@ -47,14 +47,20 @@ BROADCAST_ROWS = 500_000
 BROADCAST_CHARS = 100_000_000
 
 
+def fits_broadcast(few: DataFrame) -> bool:
+    """Whether a table is small enough to be sent to every task. `few` should be a stored table:
+    it is measured here."""
+    texts = [F.col(c) for c, t in few.dtypes if t == "string"] + [F.array_join(c, "") for c, t in few.dtypes if t == "array<string>"]
+    chars = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)))
+    size = few.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(chars, F.lit(0)).alias("c")).first()
+    return size.n <= BROADCAST_ROWS and size.c <= BROADCAST_CHARS
+
+
 def dictionary_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     """Inner join of very many rows with a dictionary that is unique by key. A dictionary of
     checked size is broadcast, so the many side is not shuffled at all; a larger one takes
     the salted join. `few` should be a stored table: it is measured first."""
-    texts = [F.col(c) for c, t in few.dtypes if t == "string"] + [F.array_join(c, "") for c, t in few.dtypes if t == "array<string>"]
-    chars = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)))
-    size = few.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(chars, F.lit(0)).alias("c")).first()
-    if size.n <= BROADCAST_ROWS and size.c <= BROADCAST_CHARS:
+    if fits_broadcast(few):
         return many.join(F.broadcast(few), keys)
     return salted_join(many, few, keys, spread)
 
