@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusveil import values as v
 from corpusveil.functions import names
+from corpusveil.operators.anchors import open_places
 from corpusveil.session import materialize, number_rows
 
 RULE_ORDER = ["kind", "ord", "form_pos", "shape_pos"]  # 'package' sorts before 'variable'
@@ -228,24 +229,16 @@ def _pair_counts(hits: DataFrame, pairs: DataFrame) -> DataFrame:
 def package_cascades(mappings: DataFrame) -> DataFrame:
     """Package targets that contain another pair's source: one row per (target, source).
 
-    Containment is an equi-join: every substring of a target that is as long as some
-    source, against the distinct sources.
+    A source is looked for in the targets by its rarest characters in a row, so there is a row
+    per place that may hold one, not per substring.
     """
-    pairs = valid_pairs(mappings).where(F.col("kind") == "package")
+    pairs = materialize(valid_pairs(mappings).where(F.col("kind") == "package").select("set_id", "from", "to"), "packages")
     sources = pairs.select("set_id", F.col("from").alias("source")).distinct()
     targets = pairs.select("set_id", F.col("to").alias("target")).distinct()
-    starts = targets.select("set_id", "target", F.explode(F.sequence(F.lit(1), F.length("target"))).alias("_at"))
-    parts = starts.select(
-        "set_id", "target", "_at",
-        F.explode(F.sequence(F.lit(1), F.length("target") - F.col("_at") + 1)).alias("_len"),
-    )
-    known = sources.select("set_id", F.length("source").alias("_len")).distinct()
-    hits = (
-        parts.join(known, ["set_id", "_len"], "left_semi")
-        .select("set_id", "target", F.substr("target", F.col("_at"), F.col("_len")).alias("source"))
-        .distinct()
-        .join(sources, ["set_id", "source"], "left_semi")
-    )
+    words = materialize(targets.select(F.col("target").alias("word")).distinct(), "targets")
+    literals = materialize(sources.select(F.col("source").alias("literal")).distinct(), "sources")
+    found = open_places(words, literals).select(F.col("word").alias("target"), F.substr("w", F.lit(2), F.col("len")).alias("source")).distinct()
+    hits = found.join(targets, "target").join(sources, ["set_id", "source"], "left_semi")
     return _pair_counts(hits, pairs).select("set_id", "target", "source", "n_targets", "n_sources", "n_pairs")
 
 
