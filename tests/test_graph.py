@@ -224,3 +224,41 @@ def test_collisions(spark):
     files = files_df(spark, {p: "" for p in ["GateX.java", "DoorX.java"]}, "spring")
     plan = {r.path: r.collision for r in V.rename_plan(files, both, "spring").collect()}
     assert plan == {"DoorX.java": False, "GateX.java": True}
+
+
+@pytest.mark.parametrize("step", ["stage", "sink", "ledger", "close"])
+def test_a_reversal_that_breaks_off_ends_in_the_same_state(spark, tmp_path, monkeypatch, step):
+    """Left and right trade names, so a second reversal of the same files would undo the first. The
+    job is stopped at one step and run again on what then stands in the place of the files."""
+    maps = mappings_df(spark, [("variable", 0, "Left", "Right"), ("variable", 1, "Right", "Left")])
+    files = files_df(spark, {"a/LeftArm.java": "class LeftArm { Right r; }", "b/Other.java": "none"}, "spring")
+    ledger, place = str(tmp_path / "ledger"), str(tmp_path / "files")
+    files.write.parquet(place)
+
+    def run(sink):
+        now = spark.read.parquet(place).select(*files.columns)
+        return Z.restore(now, "x", maps, None, "spring", ledger, sink=sink, first_run=True)
+
+    def write(df):
+        df.select(*files.columns).write.mode("overwrite").parquet(place)
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    def write_and_stop(df):
+        write(df)
+        stop()
+
+    log = Z.log_stage
+    with monkeypatch.context() as m:
+        if step == "ledger":
+            m.setattr(Z.V, "append_ledger", stop)
+        elif step != "sink":
+            m.setattr(Z, "log_stage", lambda *a: stop() if a[-1] == {"stage": "staged", "close": "closed"}[step] else log(*a))
+        with pytest.raises(OSError, match="stopped"):
+            run(write_and_stop if step == "sink" else write)
+    again = run(write)
+    assert again.refused == (step == "close")
+    assert {r.path: r.text for r in spark.read.parquet(place).collect()} == {
+        "a/RightArm.java": "class RightArm { Left r; }", "b/Other.java": "none"}
+    assert spark.read.parquet(ledger).count() == 1 and run(write).refused
