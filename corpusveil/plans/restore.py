@@ -64,7 +64,7 @@ def restore(
     """Reverse one dataset and hand its files to `sink`, which writes them. Only then is the
     ledger told. If a step fails, run the job again, with `first_run` if the ledger was not written
     yet: it hands the staged files to `sink` once more, which must therefore overwrite, and reads
-    `files` no more. A forced run also finishes an open stage first; force again to reverse anew.
+    `files` only for a snapshot the first run was not asked for. A forced run also finishes an open stage first; force again to reverse anew.
 
     A second run with the same mapping is refused unless forced. A missing ledger is an error
     unless `first_run` says that there is none yet. A dry run computes everything, needs no
@@ -83,6 +83,8 @@ def restore(
     begun = None if dry_run else open_stage(batch, folder)
     if begun:
         stage, saved = begun.stage, begun.snapshot
+        if snapshot_base and saved is None:
+            saved = snapshot(files, snapshot_base)
     else:
         stage = new_table_path(spark, "reversal") if dry_run else f"{folder}/{uuid.uuid4().hex}"
         saved = snapshot(files, snapshot_base, dry_run=dry_run) if snapshot_base else None
