@@ -310,6 +310,7 @@ def oracle_sql() -> dict[str, str]:
       kn AS (SELECT {HOST} AS project, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS module_id FROM pages)
       SELECT project, module_id FROM ln ANTI JOIN kn USING (project, module_id)"""
     q["g6_trace_closure"] = f"WITH RECURSIVE {JAVA_CLOSURE} SELECT {CLOSURE_COLUMNS} FROM closure"
+    q["g6_trace_closure_bucketed"] = q["g6_trace_closure"]
     q["g6_trace_closure_react"] = f"WITH RECURSIVE {REACT_CLOSURE} SELECT {CLOSURE_COLUMNS} FROM closure"
     q["g7_checklist"] = f"""WITH RECURSIVE {JAVA_CLOSURE} SELECT project, entry, list_position({_order(v.SPRING)}, type)::INT AS type_ord,
       CASE type {_labels(v.SPRING)} END AS label, seq, coalesce(path, replace(module_id, '.', '/') || '.java') AS shown,

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.functions import paths
 from corpusveil.operators.profiles import PROFILES, by_lang
-from corpusveil.plans.joins import hot_key_join
-from corpusveil.session import materialize, new_table_path, number_rows
+from corpusveil.plans.joins import SMALL_ROWS, bucketed_join, hot_key_join
+from corpusveil.session import bucket_count, materialize, new_table_path, number_rows, write_bucketed
 
 PLACE_ROUNDS = 16
 CLOSURE = ["project", "entry", "module_id", "path", "type", "found", "depth"]
+#: What an import is looked up by.
+SOURCE = ["project", "src_path"]
 
 
 def module_table(files: DataFrame, lang: Column | str | None = None) -> DataFrame:
@@ -133,7 +135,8 @@ def missing_modules(edges: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def trace_closure(
-    entries: DataFrame, edges: DataFrame, modules: DataFrame, lang: str = v.DEFAULT_LANG, sequence: bool = True
+    entries: DataFrame, edges: DataFrame, modules: DataFrame, lang: str = v.DEFAULT_LANG, sequence: bool = True,
+    bucketed: bool | None = None,
 ) -> DataFrame:
     """Breadth-first closure of every entry (project, entry = path of a file).
 
@@ -142,7 +145,11 @@ def trace_closure(
     shared folder, so plans stay short and a lost executor costs one round at most.
     `seq` is the order of discovery: missing modules come right after the module that
     first names them, found ones in queue order.
+
+    Beyond SMALL_ROWS edges (or with `bucketed`) edges and rows seen are bucketed tables: a
+    round moves its frontier and what that finds, never the edges or what is seen already.
     """
+    spark = edges.sparkSession
     adjacency = materialize(
         edges.join(
             modules.select("project", F.col("path").alias("dep_path"), F.col("module_id").alias("_mid"), F.col("type").alias("_type")),
@@ -156,8 +163,12 @@ def trace_closure(
         "adjacency",
     )
     key = ["project", "entry", "module_id"]
+    if bucketed is None:
+        bucketed = adjacency.count() > SMALL_ROWS
 
-    base = new_table_path(edges.sparkSession, "closure")
+    base = new_table_path(spark, "closure")
+    # names in the catalog for the time of the rounds; the files are read by path afterwards
+    seen, known = (f"corpusveil_{label}_{base[-32:]}" for label in ("seen", "edges"))
     row = "project STRING, entry STRING, module_id STRING, path STRING, type STRING, p_place STRING, ord INT, place STRING"
 
     def store(df: DataFrame, depth: int) -> int:
@@ -169,32 +180,37 @@ def trace_closure(
             order = ["project", "entry", "place"]
             ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
             df = ranked.withColumn("place", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+            if bucketed:
+                # ranks are stored before rows move: a task run again must not give others
+                df = materialize(df, "ranks").repartition(bucket_count(spark), *key)
         path = f"{base}/depth={depth}"
+        if bucketed:
+            write_bucketed(df.withColumn("depth", F.lit(depth)), seen, base, key, ["depth"])
+            # a round that found nothing has no folder
+            return spark.table(seen).where(F.col("depth") == depth).count()
         df.write.parquet(path)
-        return edges.sparkSession.read.schema(row).parquet(path).count()
+        return spark.read.schema(row).parquet(path).count()
 
     def stored() -> DataFrame:
         """All rounds so far as one scan, with their depth."""
-        return edges.sparkSession.read.schema(row + ", depth INT").parquet(base)
+        return spark.read.schema(row + ", depth INT").parquet(base)
 
     start = entries.select("project", "entry", F.col("entry").alias("path")).distinct().join(
         modules.select("project", "path", "module_id", "type"), ["project", "path"]
     ).select(*key, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
-    depth, rows = 0, store(start, 0)
-    while rows:
-        sofar = stored()
-        frontier = sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
-            "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
-        )
-        fresh = (
-            hot_key_join(frontier, adjacency, ["project", "src_path"], ["entry"], rows=rows)
-            .groupBy(*key)
-            .agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
-            .join(sofar.select(*key), key, "left_anti")
-            .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
-        )
-        depth += 1
-        rows = store(fresh, depth)
+    try:
+        if bucketed:
+            write_bucketed(adjacency.repartition(bucket_count(spark), *SOURCE), known, f"{base}-edges", SOURCE)
+            adjacency = spark.table(known)
+        depth, rows = 0, store(start, 0)
+        while rows:
+            sofar = spark.table(seen) if bucketed else stored()
+            fresh = next_round(sofar, adjacency, depth, rows, bucketed)
+            depth += 1
+            rows = store(fresh, depth)
+    finally:
+        for name in (seen, known):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     reached = stored().withColumn("found", F.col("path").isNotNull())
     if not sequence:
         return reached.select(*CLOSURE)
@@ -210,6 +226,22 @@ def trace_closure(
     return numbered.join(first, ["project", "entry"]).select(*CLOSURE, (F.col("_n") - F.col("_first")).alias("seq"))
 
 
+def next_round(sofar: DataFrame, adjacency: DataFrame, depth: int, rows: int, bucketed: bool = False) -> DataFrame:
+    """What the rows of `depth` find first: each module once an entry, by its first parent."""
+    key = ["project", "entry", "module_id"]
+    frontier = sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
+        "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
+    )
+    join = bucketed_join if bucketed else hot_key_join
+    return (
+        join(frontier, adjacency, SOURCE, ["entry"], rows=rows)
+        .groupBy(*key)
+        .agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
+        .join(sofar.select(*key), key, "left_anti")
+        .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
+    )
+
+
 def checklist(closure: DataFrame, lang: str = v.DEFAULT_LANG) -> DataFrame:
     """One row per listed module, with its group, label, shown path and mark."""
     profile = PROFILES[lang]

@@ -49,9 +49,9 @@ def edges_of(files: DataFrame, lang: str, scope: str) -> DataFrame:
     return G.resolve_react(G.react_imports(files), files, scope or v.DEFAULT_ALIAS)
 
 
-def trace(files: DataFrame, entries: DataFrame, lang: str, scope: str) -> DataFrame:
+def trace(files: DataFrame, entries: DataFrame, lang: str, scope: str, bucketed: bool | None = None) -> DataFrame:
     modules = materialize(G.module_table(files, lang), "modules")
-    return G.trace_closure(entries, edges_of(files, lang, scope), modules, lang)
+    return G.trace_closure(entries, edges_of(files, lang, scope), modules, lang, bucketed=bucketed)
 
 
 def extract(

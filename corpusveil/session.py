@@ -92,6 +92,21 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a table that is joined without being moved: as many as a shuffle has parts, so
+    that what was grouped by the keys meets them as it is."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], parts: list[str] | None = None) -> None:
+    """Add df to a table of the catalog that is bucketed by `keys`, with its files below `path` in
+    the shared folder. df should be partitioned by the keys, else each task writes to each bucket."""
+    spark = df.sparkSession
+    out = df.write.mode("append").format("parquet").option("path", path).bucketBy(bucket_count(spark), *keys)
+    (out.partitionBy(*parts) if parts else out).saveAsTable(name)
+    spark.catalog.refreshTable(name)
+
+
 def read_or_first(spark: SparkSession, schema, path: str, first: bool) -> DataFrame:
     """The stored table; where nothing is stored yet an empty one, but only if this is declared
     to be the first run. A moved or mistyped path must not pass for a new beginning."""

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from corpusveil.catalog import corpus as C
 from corpusveil.catalog import queries as K
 from corpusveil.operators import audit as A
+from corpusveil.operators import graph as G
 from corpusveil.operators import literals as L
 from corpusveil.operators import rename as W
 from corpusveil.operators import rules as R
 from corpusveil.plans import joins as J
-from corpusveil.session import number_rows, shared_dir
+from corpusveil.session import new_table_path, number_rows, shared_dir, write_bucketed
 
 
 def plan(df):
@@ -76,6 +77,41 @@ def test_hot_keys_join_like_plain_ones(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def above(df, mark):
+    """Operators above each line of the plan that holds `mark`."""
+    lines = plan(df).split("Initial Plan")[-1].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    for i, line in enumerate(lines):
+        if mark in line:
+            found, d = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < d:
+                    found.append(lines[j].strip(" :+-*"))
+                    d = depth[j]
+            yield found
+
+
+def test_a_round_moves_neither_edges_nor_what_is_seen(spark, monkeypatch):
+    row = "project string, entry string, module_id string, path string, type string, p_place string, ord int, place string, depth int"
+    sofar = spark.createDataFrame([("p", "a", "m", "a", "class", "", 0, "0", 0)], row)
+    edges = spark.createDataFrame([("p", "a", 0, "b", "n", "class")], "project string, src_path string, ord int, dep_path string, module_id string, type string")
+    write_bucketed(sofar, "plan_seen", new_table_path(spark, "seen"), ["project", "entry", "module_id"], ["depth"])
+    write_bucketed(edges, "plan_edges", new_table_path(spark, "edges"), ["project", "src_path"])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = G.next_round(spark.table("plan_seen"), spark.table("plan_edges"), 0, 1, bucketed=True)
+        over_edges = list(above(out, "plan_edges"))
+        assert over_edges and not any("Exchange" in op.split("(")[0] for ops in over_edges for op in ops[: next(i for i, o in enumerate(ops) if "Join" in o) + 1])
+        # the frontier moves; the table of what is seen meets what was found where it is
+        assert any(ops and not any("Exchange" in op for op in ops) for ops in above(out, "plan_seen"))
+        assert sum(k.startswith("Exchange") for k in exchanges(out)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        for name in ("plan_seen", "plan_edges"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_large_dictionary_takes_the_salted_join(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_ROWS", 2)
     monkeypatch.setattr("corpusveil.functions.columns.INLINE_MAX_ENTRIES", 1)
