@@ -418,6 +418,12 @@ def oracle_sql() -> dict[str, str]:
     q["a2_round_trip_audit"] = f"""WITH {CODE_AND_DOCS}, came AS (SELECT project || '/' || path AS id FROM jf UNION ALL SELECT doc_id::VARCHAR FROM labels)
       SELECT cd.id, CASE WHEN came.id IS NULL THEN 'missing' ELSE 'differs' END AS problem FROM cd LEFT JOIN came ON came.id = cd.id
       WHERE came.id IS NULL OR {stripped} <> {trim('text')}"""
+    q["a2_merkle_audit"] = f"""WITH {Q.JAVA_FILES}, fl AS (SELECT project, path, text, true AS came FROM jf
+        UNION ALL SELECT source, doc_id::VARCHAR, text, doc_id IN (SELECT doc_id FROM labels) FROM documents),
+      sd AS (SELECT project, path, came, {trim('text')} AS was, {stripped} AS now FROM fl),
+      sp AS (SELECT project, path, came, string_split(was, {NL}) AS a, string_split(now, {NL}) AS b FROM sd WHERE NOT came OR was <> now)
+      SELECT project, path, CASE WHEN came THEN 'differs' ELSE 'missing' END AS problem,
+        CASE WHEN came THEN list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i]))::INT END AS line FROM sp"""
     last = "regexp_extract(module_id, '([^.]*)$', 1)"
     q["b1_bundles"] = bundle_query(JAVA_CLOSURE, v.SPRING, CODE_MAPPING, last, "jest")
     stem = "regexp_replace(regexp_extract(module_id, '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1')"

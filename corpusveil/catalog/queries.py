@@ -637,6 +637,18 @@ def a2_round_trip_audit(spark, sf_dir):
     return A.round_trip_audit(original, back, ["id"], "text")
 
 
+def a2_merkle_audit(spark, sf_dir):
+    """The same with code by project and documents by source: where the first difference is."""
+    code = C.java_files(spark, sf_dir).select("project", "path", "text")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), "text")
+    labelled = docs.join(C.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    options = S.Options(strip_comments=True, strip_doc_tags=True, strip_loggers=False)
+    sent = code.unionByName(labelled.drop("doc_id"))
+    clean = S.sanitize(sent, ["project", "path"], "text", _text_maps(spark), options, v.SPRING)
+    back = V.reverse_text(clean, ["project", "path"], "text", _text_maps(spark), None)
+    return A.merkle_audit(code.unionByName(docs.drop("doc_id")), back)
+
+
 def b1_bundles(spark, sf_dir):
     return B.bundles(_java_closure(spark, sf_dir), _code_maps(spark), v.SPRING, names_per_part=50)
 
@@ -725,7 +737,7 @@ def queries() -> dict[str, Query]:
         l0_segments, l1_extract_literals, l1_extract_event_props, l1_extract_literals_react, l2_build_dictionary,
         l2_seeded_dictionary, l3_mask_literals, l3_mask_literals_join, l3_mask_literals_react, l4_unmask_literals, l4_unmask_literals_join,
         v1_reverse_text, v2_leftover_tokens, v3_rename_plan, v3_collisions, v4_reversal_summary, v5_pending_reversals,
-        a1_leak_audit, a1_leak_audit_clean, a2_round_trip_audit, b1_bundles, b1_bundles_react, b2_extraction_plan,
+        a1_leak_audit, a1_leak_audit_clean, a2_round_trip_audit, a2_merkle_audit, b1_bundles, b1_bundles_react, b2_extraction_plan,
         i1_sanitize_stream, u1_profiles,
     ]
     named = {fn.__name__: fn for fn in functions}

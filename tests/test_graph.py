@@ -114,6 +114,27 @@ def test_bucketed_closure_of_nothing(spark):
     assert G.trace_closure(entries, edges, modules.limit(0), bucketed=True).count() == 0
 
 
+def test_merkle_audit_names_place_and_line(spark):
+    row = "project string, path string, text string"
+    same = [("p", f"a/{i}.java", f"class {i} {{}}") for i in range(30)] + [(None, None, "kept"), ("q", "x", "twice"), ("q", "x", "twice")]
+    was = same + [
+        ("p", "b/1", "one\ntwo\nthree"), ("p", "b/2", "short"), ("p", "top", "lost"), ("r", None, "a"), (None, "n", " trimmed \n"),
+        ("q", "y", "again"), ("q", "y", "again"), ("s", "swap1", "u"), ("s", "swap2", "w"), ("t", "nothing", None), ("t", "empty", ""),
+    ]
+    now = same + [
+        ("p", "b/1", "one\n2\nthree"), ("p", "b/2", "short\nlonger"), ("p", "new", "found"), ("r", None, "b"), (None, "n", "trimmed"),
+        ("q", "y", "again"), ("s", "swap1", "w"), ("s", "swap2", "u"), ("t", "empty", "x"), ("t", "other", None),
+    ]
+    got = A.merkle_audit(spark.createDataFrame(was, row).withColumn("n", F.lit(1)), spark.createDataFrame(now, row)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("p", "b/1", "differs", 2), ("p", "b/2", "differs", 2), ("p", "top", "missing", None), ("p", "new", "unexpected", None),
+        ("r", None, "differs", 1), ("q", "y", "missing", None), ("s", "swap1", "differs", 1), ("s", "swap2", "differs", 1),
+        ("t", "empty", "differs", 1),
+    ], key=str)
+    nothing = spark.createDataFrame([], row)
+    assert A.merkle_audit(nothing, nothing).collect() == []
+
+
 def test_java_imports_rules(spark):
     text = (
         "import com.m.A;\nimport static com.m.B;\nimport com.m.*;\nimport com.m.B.field;\nimport com.m2.C;\n"
