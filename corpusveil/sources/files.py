@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 
 from corpusveil import values as v
 from corpusveil.functions.modules import infer_lang
-from corpusveil.session import materialize
+from corpusveil.plans.joins import dictionary_join
+from corpusveil.session import materialize, running_sums
 
 FILES_SCHEMA = "path STRING, text STRING, bad_utf8 BOOLEAN, n_replaced INT"
 TASK_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
+#: Text in one file of a cleaned corpus.
+FILE_BYTES = 128 << 20
+#: Places in a folder that rows are dealt to.
+PLACES = 1 << 40
 
 
 def _open(root: str):
@@ -114,11 +119,27 @@ def sources_from_table(df: DataFrame, path: str, text: str, project: str | None
     )
 
 
-def write_clean(files: DataFrame, path: str) -> None:
-    """Cleaned files as Parquet; modules without a source are left out."""
-    files.where(F.col("path").isNotNull() & F.col("text").isNotNull()).write.mode("overwrite").partitionBy(
-        "project", "lang"
-    ).parquet(path)
+def write_clean(files: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Cleaned files as Parquet, a folder per project and language; modules without a source are
+    left out.
+
+    All projects lie in a row by their bytes of text, and a row of a project has its place there
+    by a hash; every `file_bytes` of it are written by one task. So a large project is many files
+    of that size, many small ones share a task, and there are at most bytes / file_bytes + 1 files
+    more than folders, whatever the sizes. Only a single text can make a file larger. The rows are
+    stored once before, so that they are not made again for their sizes.
+    """
+    spark = files.sparkSession
+    folder = F.to_json(F.struct("project", "lang"))
+    stored = materialize(files.where(F.col("path").isNotNull() & F.col("text").isNotNull()), "clean")
+    sizes = stored.groupBy(folder.alias("_folder")).agg(F.sum(F.octet_length("text") + 1).alias("_bytes"))
+    placed = materialize(running_sums(sizes, ["_folder"], "_bytes", "_nth", "_begin"), "folders")
+    total = placed.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b")).first().b
+    within = F.pmod(F.xxhash64("path", "text"), F.lit(PLACES)) / PLACES
+    tasks = int(total // file_bytes) + 1
+    task = F.floor((F.col("_begin") + within * F.col("_bytes")) / file_bytes).cast("int")
+    rows = dictionary_join(stored.withColumn("_folder", folder), placed, ["_folder"], ["path"]).withColumn("_task", task)
+    rows.repartitionById(tasks, F.col("_task")).select(*stored.columns).write.mode("overwrite").partitionBy("project", "lang").parquet(path)
 
 
 def write_tree(files: DataFrame, root: str, path: str = "path", text: str = "text") -> int:

@@ -42,6 +42,26 @@ def test_clean_and_snapshot(spark, tmp_path):
     assert SF.snapshot(files, str(tmp_path / "s"), dry_run=True) is None
 
 
+def test_clean_files_are_cut_by_bytes(spark, tmp_path):
+    """One huge project, a hundred tiny ones, and one without a name: as many files as the bytes ask for."""
+    huge = spark.range(4000).select(F.lit("huge").alias("project"), F.format_string("a/%05d", "id").alias("path"), F.repeat(F.lit("x"), F.lit(499)).alias("text"))
+    tiny = spark.range(100).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("project"), F.lit("f").alias("path"), F.lit("tiny").alias("text"))
+    odd = spark.createDataFrame([(None, "n", "nameless"), ("huge", "empty", ""), ("huge", "twice", "same"), ("huge", "twice", "same"), ("huge", "none", None)], "project string, path string, text string")
+    files = huge.unionByName(tiny).unionByName(odd).withColumn("lang", F.when(F.col("project") != "t7", "spring")).repartition(9)
+    out = tmp_path / "c"
+    SF.write_clean(files, str(out), 100_000)
+    back = spark.read.parquet(str(out))
+    want = files.where("text IS NOT NULL").select("project", "path", "text")
+    assert back.count() == 4104 and back.select("project", "path", "text").exceptAll(want).isEmpty()
+    count = {p.name: len(list(p.rglob("*.parquet"))) for p in out.iterdir() if p.is_dir()}
+    # 2 MB in files of 100 kB; a folder that does not begin with a file has one more
+    assert 20 <= count.pop("project=huge") <= 22
+    assert len(count) == 101 and sum(count.values()) <= 102
+    sizes = sorted(r["count"] for r in back.where("project = 'huge'").groupBy(F.input_file_name()).count().collect())
+    assert sizes[-1] <= 260
+    SF.write_clean(files.limit(0), str(tmp_path / "none"))
+
+
 @pytest.mark.parametrize("doc,package,variable,strings,language", [
     ('[{"from": "org.polaris", "to": "net.sample"}]', [("org.polaris", "net.sample")], [], {}, None),
     ('{"package": [], "variable": [{"from": "Shutter", "to": "Gate"}], "language": "spring"}', [], [("Shutter", "Gate")], {}, "spring"),
