@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
+from corpusveil.session import parallelism
 
 TEXT_MAPPING = [
     ("package", 0, "example.com", "zq-host.test"),
@@ -39,8 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, spread over all tasks: a part takes few bytes to read, but what is made of it is a
+    text that costs milliseconds, so the splits of the scan are far too large."""
+    return table(spark, sf_dir, "part").repartition(parallelism(spark), "p_partkey")
+
+
 def _numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     placed = part.select(
         (F.col("p_partkey") % 10).cast("string").alias("project"),
         F.floor(F.col("p_partkey") / 10).cast("bigint").alias("i"),

@@ -78,8 +78,8 @@ def extraction_plan(closure: DataFrame, files: DataFrame, mappings: DataFrame, l
     ids = closure.select("project", "module_id").distinct()
     targets = W.output_path(ids, ["project", "module_id"], "module_id", mappings, lang, "target")
     return (
-        closure.join(targets, ["project", "module_id"])
-        .join(counted, ["project", "path"], "left")
+        closure.join(targets.hint("merge"), ["project", "module_id"])
+        .join(counted.hint("merge"), ["project", "path"], "left")
         .select(
             "project", "entry", "module_id",
             F.when(F.col("found"), "write").otherwise("skip").alias("action"),

@@ -7,7 +7,7 @@ Edges:   project, src_path, ord, spec, dep_id, dep_path (null = not found).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
@@ -17,6 +17,8 @@ from corpusveil.plans.joins import SMALL_ROWS, bucketed_join, hot_key_join
 from corpusveil.session import bucket_count, materialize, new_table_path, number_rows, write_bucketed
 
 PLACE_ROUNDS = 16
+#: A frontier of so many rows is sent to the edges.
+FEW_ROWS = 50_000
 CLOSURE = ["project", "entry", "module_id", "path", "type", "found", "depth"]
 #: What an import is looked up by.
 SOURCE = ["project", "src_path"]
@@ -64,13 +66,14 @@ def resolve_java(imports: DataFrame, files: DataFrame) -> DataFrame:
     wanted = imports.select("project", "spec").distinct().withColumn(
         "want", F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java"))
     )
-    exact = wanted.join(known.withColumn("hit", F.col("path")).withColumnRenamed("path", "want"), ["project", "want"], "left")
+    # tables of files and imports are never broadcast: the planner takes them for far smaller than they are
+    exact = wanted.join(known.withColumn("hit", F.col("path")).withColumnRenamed("path", "want").hint("merge"), ["project", "want"], "left")
     by_name = known.groupBy("project", paths.basename(F.col("path")).alias("name")).agg(F.min("path").alias("near"))
     # only what the exact path left open takes part in the second join
     name = F.when(F.col("hit").isNull(), paths.basename(F.col("want")))
     resolved = (
         exact.withColumn("name", name)
-        .join(by_name, ["project", "name"], "left")
+        .join(by_name.hint("merge"), ["project", "name"], "left")
         .select("project", "spec", F.coalesce("hit", "near").alias("dep_path"))
     )
     joined = hot_key_join(imports, resolved, ["project", "spec"], ["src_path"])
@@ -113,7 +116,7 @@ def resolve_react(imports: DataFrame, files: DataFrame, alias: str = v.DEFAULT_A
         "project", "base", F.posexplode(_react_candidates(F.col("base"))).alias("rank", "path")
     )
     resolved = (
-        options.join(files.select("project", "path"), ["project", "path"])
+        options.join(files.select("project", "path").hint("merge"), ["project", "path"])
         .groupBy("project", "base")
         .agg(F.min_by("path", "rank").alias("dep_path"))
     )
@@ -128,7 +131,7 @@ def resolve_react(imports: DataFrame, files: DataFrame, alias: str = v.DEFAULT_A
 def missing_modules(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Modules that are referred to but have no file."""
     wanted = edges.where(F.col("dep_path").isNull()).select("project", F.col("dep_id").alias("module_id")).distinct()
-    return wanted.join(modules.select("project", "module_id"), ["project", "module_id"], "left_anti")
+    return wanted.join(modules.select("project", "module_id").hint("merge"), ["project", "module_id"], "left_anti")
 
 
 # --- closure ---------------------------------------------------------------------------
@@ -152,7 +155,8 @@ def trace_closure(
     spark = edges.sparkSession
     adjacency = materialize(
         edges.join(
-            modules.select("project", F.col("path").alias("dep_path"), F.col("module_id").alias("_mid"), F.col("type").alias("_type")),
+            # there are as many modules as files, however few bytes the planner thinks they take
+            modules.select("project", F.col("path").alias("dep_path"), F.col("module_id").alias("_mid"), F.col("type").alias("_type")).hint("merge"),
             ["project", "dep_path"],
             "left",
         ).select(
@@ -183,20 +187,20 @@ def trace_closure(
             if bucketed:
                 # ranks are stored before rows move: a task run again must not give others
                 df = materialize(df, "ranks").repartition(bucket_count(spark), *key)
-        path = f"{base}/depth={depth}"
+        written = Observation()
+        df = df.observe(written, F.count(F.lit(1)).alias("n"))
         if bucketed:
             write_bucketed(df.withColumn("depth", F.lit(depth)), seen, base, key, ["depth"])
-            # a round that found nothing has no folder
-            return spark.table(seen).where(F.col("depth") == depth).count()
-        df.write.parquet(path)
-        return spark.read.schema(row).parquet(path).count()
+        else:
+            df.write.parquet(f"{base}/depth={depth}")
+        return written.get["n"]
 
     def stored() -> DataFrame:
         """All rounds so far as one scan, with their depth."""
         return spark.read.schema(row + ", depth INT").parquet(base)
 
     start = entries.select("project", "entry", F.col("entry").alias("path")).distinct().join(
-        modules.select("project", "path", "module_id", "type"), ["project", "path"]
+        modules.select("project", "path", "module_id", "type").hint("merge"), ["project", "path"]
     ).select(*key, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
     try:
         if bucketed:
@@ -232,12 +236,16 @@ def next_round(sofar: DataFrame, adjacency: DataFrame, depth: int, rows: int, bu
     frontier = sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
         "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
     )
-    join = bucketed_join if bucketed else hot_key_join
+    if not bucketed and rows <= FEW_ROWS:
+        opened = adjacency.join(F.broadcast(frontier), SOURCE)
+    else:
+        opened = (bucketed_join if bucketed else hot_key_join)(frontier, adjacency, SOURCE, ["entry"], rows=rows)
+    found = opened.groupBy(*key).agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
+    # hashed is what the round found; what is seen already only passes by, neither sorted nor sent around
+    known = sofar.select(*key, F.lit(True).alias("_known"))
     return (
-        join(frontier, adjacency, SOURCE, ["entry"], rows=rows)
-        .groupBy(*key)
-        .agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
-        .join(sofar.select(*key), key, "left_anti")
+        found.hint("shuffle_hash").join(known, key, "left")
+        .where(F.col("_known").isNull())
         .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
     )
 

@@ -29,7 +29,8 @@ def hot_key_join(
     plain. `many` is read more than once: pass a stored table, and its `rows` if known."""
     rows = many.count() if rows is None else rows
     if rows <= SMALL_ROWS:
-        return many.join(few, keys, how)
+        # not by the planner's guess of the few side, which is the size of compressed files
+        return many.join(few.hint("merge"), keys, how)
     least = rows // 1000
     hot = many.groupBy(*keys).count().where(F.col("count") > least).select(*keys, F.lit(True).alias("_hot"))
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
@@ -49,10 +50,10 @@ def bucketed_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list
     rows of that key move, once per salt. `many` is read more than once: pass a stored table."""
     rows = many.count() if rows is None else rows
     if rows <= SMALL_ROWS:
-        return many.join(few, keys)
+        return many.hint("shuffle_hash").join(few, keys)
     # at most 1,000 keys
     hot = many.groupBy(*keys).count().where(F.col("count") > rows // 1000).select(*keys)
-    rest = many.join(F.broadcast(hot), keys, "left_anti").join(few, keys)
+    rest = many.join(F.broadcast(hot), keys, "left_anti").join(few.hint("merge"), keys)
     heavy = many.join(F.broadcast(hot), keys, "left_semi")
     return rest.unionByName(salted_join(heavy, few.join(F.broadcast(hot), keys, "left_semi"), keys, spread))
 
