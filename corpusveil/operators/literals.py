@@ -98,7 +98,7 @@ def mask_literals(
         return df.withColumn(out, _mask_parts(parts, lookup))
     keyed = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["literal"].alias("key")))
     known = tokens.select(F.col("literal").alias("key"), F.col("token").alias("value"), F.lit(1).alias("n"))
-    return substitute(df, id_cols, keyed, known, out, _requote)
+    return substitute(df, id_cols, col, keyed, known, out, _requote)
 
 
 def _inside(quoted: Column) -> Column:
@@ -132,7 +132,8 @@ def unmask_literals(
         lambda p, i: F.struct(p.alias("text"), F.when(is_match(i), _inside(p)).alias("key")),
     )
     values = known.select(F.col("token").alias("key"), F.col("literal").alias("value"), F.lit(1).alias("n"))
-    return substitute(df, id_cols, keyed, values, out, lambda old, new: new, count)
+    tokens = F.transform(F.regexp_extract_all(F.col(col), F.lit(v.QUOTED_TOKEN), F.lit(0)), _inside)
+    return substitute(df, id_cols, col, keyed, values, out, lambda old, new: new, count, tokens)
 
 
 def leftover_tokens(text: Column) -> Column:

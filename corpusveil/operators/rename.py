@@ -285,7 +285,8 @@ def _by_word(df: DataFrame, id_cols: list[str], col: str, out: str, count: str |
         lambda p, i: F.struct(p.alias("text"), F.when(is_match(i), p).alias("key")),
     )
     dictionary = voc.words.select(F.col("word").alias("key"), F.col("renamed").alias("value"), "n")
-    return substitute(df, id_cols, parts, dictionary, out, lambda old, new: new, count)
+    words = F.regexp_extract_all(F.col(col), F.lit(voc.word_pattern), F.lit(0))
+    return substitute(df, id_cols, col, parts, dictionary, out, lambda old, new: new, count, words)
 
 
 # --- operators --------------------------------------------------------------------------

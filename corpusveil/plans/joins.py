@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusveil.functions.columns import let
+from corpusveil.session import parallelism
 
 SALTS = 8
 SMALL_ROWS = 1_000_000
@@ -84,30 +85,34 @@ CHUNK = 256
 
 
 def substitute(
-    df: DataFrame, id_cols: list[str], parts: Column, dictionary: DataFrame, out: str, render, count: str | None = None
+    df: DataFrame, id_cols: list[str], col: str, parts: Column, dictionary: DataFrame, out: str, render,
+    count: str | None = None, keys: Column | None = None,
 ) -> DataFrame:
-    """Rebuild texts from parts (array<struct<text, key>>) by a dictionary (key, value, n) of
-    any size: a part whose key is known becomes render(text, value). `count` receives the
-    sum of n over the replaced parts.
+    """Rebuild the texts of `col` from parts (array<struct<text, key>>, which give the text when joined)
+    by a dictionary (key, value, n) of any size: a part whose key is known becomes render(text, value).
+    `count` receives the sum of n over the replaced parts. `keys`, if given, are the keys of every
+    second part in order, for where they are cheaper to read than the parts.
 
-    Rows are told apart by a hash of their ids and parts, never by ids alone: ids may be null
+    Rows are told apart by a hash of their ids and text, never by ids alone: ids may be null
     or repeated. Rows that share it (repeated rows, or a collision) share the entries that any
     of them asked for, and an entry says the same in every text.
 
-    Texts are shuffled by that hash once; with a broadcast dictionary the lookup, both groupings
+    Texts are shuffled by that hash before they are cut, so cutting them hangs neither on how the
+    input lies nor on the bytes of a shuffle; with a broadcast dictionary the lookup, both groupings
     and the way back to the text need no further shuffle. A text is looked up in chunks of CHUNK parts: a map lookup
     scans its keys, and so a long text costs no more per part than a short one.
     """
 
-    def chunks(ps: Column, body) -> Column:
-        last = F.ceil(F.size(ps) / CHUNK).cast("int") - 1
+    def chunks(ps: Column, size: int, body) -> Column:
+        last = F.ceil(F.size(ps) / size).cast("int") - 1
         return F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: body(i, F.slice(ps, i * CHUNK + 1, F.lit(CHUNK)))
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: body(i, F.slice(ps, i * size + 1, F.lit(size)))
         )
 
     row = ["_row"]
-    df = df.withColumn("_row", F.xxhash64(*id_cols, parts)).repartition("_row")
-    wanted = let(parts, lambda ps: chunks(ps, lambda i, c: F.array_distinct(F.array_compact(c["key"]))))
+    df = df.withColumn("_row", F.xxhash64(*id_cols, col)).repartition(parallelism(df.sparkSession), "_row")
+    asked, size = (parts["key"], CHUNK) if keys is None else (keys, CHUNK // 2)
+    wanted = let(asked, lambda ks: chunks(ks, size, lambda i, c: F.array_distinct(F.array_compact(c))))
     found = df.select(*row, F.posexplode(wanted).alias("_chunk", "_keys")).select(*row, "_chunk", F.explode("_keys").alias("key"))
     entry = F.struct("key", F.struct("value", "n").alias("v"))
     hits = dictionary_join(found, dictionary.select("key", "value", "n"), ["key"], [*row, "_chunk"])
@@ -119,24 +124,37 @@ def substitute(
         .agg(F.map_from_entries(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
     )
 
-    def replaced(i: Column, chunk: Column) -> Column:
-        def part(p: Column, known: Column) -> Column:
-            hit = F.element_at(known, p["key"])
-            return F.struct(
-                F.when(hit.isNotNull(), render(p["text"], hit["value"])).otherwise(p["text"]).alias("text"),
-                F.coalesce(hit["n"].cast("int"), F.lit(0)).alias("n"),
-            )
+    def added(ns: Column) -> Column:
+        return F.aggregate(ns, F.lit(0), lambda acc, n: acc + n)
+
+    def same(chunk: Column) -> Column:
+        text = F.array_join(chunk["text"], "")
+        return F.struct(text.alias("text"), F.lit(0).alias("n")) if count else text
+
+    def changed(chunk: Column, known: Column) -> Column:
+        """The text of a chunk, and the sum of n if it is asked for."""
+
+        def text(p: Column, hit: Column) -> Column:
+            return F.when(hit.isNotNull(), render(p["text"], hit["value"])).otherwise(p["text"])
 
-        return let(F.element_at("_maps", i), lambda known: F.transform(chunk, lambda p: part(p, known)))
+        def counted(p: Column) -> Column:
+            made = let(F.element_at(known, p["key"]), lambda h: F.struct(text(p, h).alias("text"), F.coalesce(h["n"].cast("int"), F.lit(0)).alias("n")))
+            return F.when(p["key"].isNull(), F.struct(p["text"].alias("text"), F.lit(0).alias("n"))).otherwise(made)
 
+        if not count:
+            plain = F.transform(chunk, lambda p: F.when(p["key"].isNull(), p["text"]).otherwise(let(F.element_at(known, p["key"]), lambda h: text(p, h))))
+            return F.array_join(plain, "")
+        return let(F.transform(chunk, counted), lambda ps: F.struct(F.array_join(ps["text"], "").alias("text"), added(ps["n"]).alias("n")))
+
+    def replaced(i: Column, chunk: Column) -> Column:
+        return let(F.element_at("_maps", i), lambda known: F.when(known.isNull(), same(chunk)).otherwise(changed(chunk, known)))
+
+    # a text without hits is not cut again
     joined = df.join(per_text, row, "left").withColumn(
-        "_made", F.when(F.col("_maps").isNotNull(), F.flatten(let(parts, lambda ps: chunks(ps, replaced))))
-    )
-    whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
-    result = joined.withColumn(
-        "_text", F.when(F.col("_made").isNull(), whole).otherwise(F.array_join(F.col("_made")["text"], ""))
+        "_made", F.when(F.col("_maps").isNotNull(), let(parts, lambda ps: chunks(ps, CHUNK, replaced)))
     )
+    made = F.col("_made")["text"] if count else F.col("_made")
+    result = joined.withColumn("_text", F.when(F.col("_made").isNull(), F.col(col)).otherwise(F.array_join(made, "")))
     if count:
-        total = F.aggregate(F.col("_made")["n"], F.lit(0), lambda acc, n: acc + n)
-        result = result.withColumn(count, F.when(parts.isNotNull(), F.coalesce(total, F.lit(0))))
+        result = result.withColumn(count, F.when(F.col(col).isNotNull(), F.coalesce(added(F.col("_made")["n"]), F.lit(0))))
     return result.withColumn(out, F.col("_text")).drop("_maps", "_made", "_text", "_row")

@@ -6,6 +6,8 @@ from corpusveil import values as v
 from corpusveil.catalog import corpus as C
 from corpusveil.catalog import queries as K
 from corpusveil.operators import graph as G
+from corpusveil.operators import rename as W
+from corpusveil.operators import rules as R
 from corpusveil.plans import extract as X
 from corpusveil.plans import joins as J
 from corpusveil.session import materialize, parallelism
@@ -57,3 +59,22 @@ def test_small_many_sides_do_not_broadcast_the_few_side(spark):
     many = materialize(spark.createDataFrame([("a", 1)], "k string, x int"), "many")
     few = materialize(spark.createDataFrame([("a", 2)], "k string, y int"), "few")
     assert "BroadcastHashJoin" not in plan(J.hot_key_join(many, few, ["k"], ["x"]))
+
+
+def test_texts_are_cut_after_they_are_spread(spark):
+    """Before, texts were cut into parts by the tasks of the scan, for a hash of the parts."""
+    rows = [(1, "Lamp Lamp"), (1, "Lamp Lamp"), (None, "no " * 300 + "LampShade" + " Lamp" * 300), (2, ""), (3, None), (4, "no")]
+    df = materialize(spark.createDataFrame(rows, "id int, text string").coalesce(1), "texts")
+    rules = R.content_rules(C.mapping_set(spark, [("variable", 0, "Lamp", "Torch")], "s"))
+    out = W.rename_text(df, ["id"], "text", rules, count="n", join=True)
+    lines = plan(out).splitlines()
+    spread = [i for i, line in enumerate(lines) if "hashpartitioning(_row" in line and "REPARTITION_BY_NUM" in line]
+    assert spread
+    for i in spread:
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-*"))
+        for line in lines[i + 1:]:
+            if len(line) - len(line.lstrip(" :+-*")) <= depth:
+                break
+            assert "regexp" not in line
+    want = [(i, t and t.replace("Lamp", "Torch"), None if t is None else t.count("Lamp")) for i, t in rows]
+    assert sorted(map(tuple, out.select("id", "text", "n").collect()), key=str) == sorted(want, key=str)
