@@ -42,7 +42,7 @@ def hot_key_join(
     repeated = few.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), everyone).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def bucketed_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], rows: int | None = None) -> DataFrame:

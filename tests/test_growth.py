@@ -78,3 +78,11 @@ def test_texts_are_cut_after_they_are_spread(spark):
             assert "regexp" not in line
     want = [(i, t and t.replace("Lamp", "Torch"), None if t is None else t.count("Lamp")) for i, t in rows]
     assert sorted(map(tuple, out.select("id", "text", "n").collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_last_join_of_hot_keys_does_not_broadcast_the_few_side(spark, monkeypatch):
+    monkeypatch.setattr(J, "SMALL_ROWS", 1)
+    many = materialize(spark.range(3000).select(F.lit("a").alias("k"), "id"), "many")
+    few = materialize(spark.createDataFrame([("a", 2)], "k string, y int"), "few")
+    out = J.hot_key_join(many, few, ["k"], ["id"])
+    assert "SortMergeJoin" in plan(out) and out.count() == 3000
