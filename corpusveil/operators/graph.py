@@ -17,8 +17,13 @@ from corpusveil.plans.joins import SMALL_ROWS, bucketed_join, hot_key_join
 from corpusveil.session import bucket_count, materialize, new_table_path, number_rows, write_bucketed
 
 PLACE_ROUNDS = 16
-#: A frontier of so many rows is sent to the edges.
+#: A frontier of so many rows is sent to the edges, and what it finds to the rows seen.
 FEW_ROWS = 50_000
+#: What few rows may find in one round before it is sent around by its keys instead.
+FOUND_ROWS = 200_000
+#: Edges in a bucket.
+BUCKET_ROWS = 50_000
+KEY = ["project", "entry", "module_id"]
 CLOSURE = ["project", "entry", "module_id", "path", "type", "found", "depth"]
 #: What an import is looked up by.
 SOURCE = ["project", "src_path"]
@@ -149,8 +154,10 @@ def trace_closure(
     `seq` is the order of discovery: missing modules come right after the module that
     first names them, found ones in queue order.
 
-    Beyond SMALL_ROWS edges (or with `bucketed`) edges and rows seen are bucketed tables: a
+    Beyond SMALL_ROWS edges (or with `bucketed`) edges and keys seen are bucketed tables: a
     round moves its frontier and what that finds, never the edges or what is seen already.
+    There are as many buckets as the edges ask for. Rounds of few rows, of which a deep graph
+    has many, leave the buckets alone: they read edges and keys once and move neither.
     """
     spark = edges.sparkSession
     adjacency = materialize(
@@ -166,50 +173,58 @@ def trace_closure(
         ),
         "adjacency",
     )
-    key = ["project", "entry", "module_id"]
+    n_edges = adjacency.count()
     if bucketed is None:
-        bucketed = adjacency.count() > SMALL_ROWS
+        bucketed = n_edges > SMALL_ROWS
 
     base = new_table_path(spark, "closure")
-    # names in the catalog for the time of the rounds; the files are read by path afterwards
+    # names in the catalog for the time of the rounds
     seen, known = (f"corpusveil_{label}_{base[-32:]}" for label in ("seen", "edges"))
     row = "project STRING, entry STRING, module_id STRING, path STRING, type STRING, p_place STRING, ord INT, place STRING"
 
     def store(df: DataFrame, depth: int) -> int:
         """Write the rows of one depth; returns how many. `place` sorts like the order of
-        discovery within a depth: the place of the first parent and the import number. Every
-        PLACE_ROUNDS rounds it becomes a rank, so it stays short on deep graphs."""
-        df = df.withColumn("place", F.concat("p_place", F.lpad(F.hex("ord"), 8, "0")))
+        discovery within a depth: the place of the first parent and the import number, in hex
+        after the count of its digits. Every PLACE_ROUNDS rounds it becomes a rank, so it stays
+        short on deep graphs."""
+        number = F.hex("ord")
+        df = df.withColumn("place", F.concat("p_place", F.length(number).cast("string"), number))
         if depth and depth % PLACE_ROUNDS == 0:
             order = ["project", "entry", "place"]
             ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
             df = ranked.withColumn("place", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-            if bucketed:
-                # ranks are stored before rows move: a task run again must not give others
-                df = materialize(df, "ranks").repartition(bucket_count(spark), *key)
         written = Observation()
-        df = df.observe(written, F.count(F.lit(1)).alias("n"))
-        if bucketed:
-            write_bucketed(df.withColumn("depth", F.lit(depth)), seen, base, key, ["depth"])
-        else:
-            df.write.parquet(f"{base}/depth={depth}")
+        df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/depth={depth}")
         return written.get["n"]
 
-    def stored() -> DataFrame:
-        """All rounds so far as one scan, with their depth."""
-        return spark.read.schema(row + ", depth INT").parquet(base)
+    def stored(first: int = 0) -> DataFrame:
+        """The rounds from depth `first` on as one scan, with their depth."""
+        return spark.read.schema(row + ", depth INT").parquet(base).where(F.col("depth") >= first)
 
     start = entries.select("project", "entry", F.col("entry").alias("path")).distinct().join(
         modules.select("project", "path", "module_id", "type").hint("merge"), ["project", "path"]
-    ).select(*key, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
+    ).select(*KEY, "path", "type", F.lit("").alias("p_place"), F.lit(0).alias("ord"))
+    buckets = min(bucket_count(spark), max(spark.sparkContext.defaultParallelism, n_edges // BUCKET_ROWS))
+    # depths below `indexed` are in the bucketed table of keys, those below `packed` in one table of few files
+    indexed = packed = 0
+    settled = None
     try:
-        if bucketed:
-            write_bucketed(adjacency.repartition(bucket_count(spark), *SOURCE), known, f"{base}-edges", SOURCE)
-            adjacency = spark.table(known)
         depth, rows = 0, store(start, 0)
         while rows:
-            sofar = spark.table(seen) if bucketed else stored()
-            fresh = next_round(sofar, adjacency, depth, rows, bucketed)
+            if not bucketed:
+                fresh = next_round(stored(), adjacency, depth, rows)
+            elif rows <= FEW_ROWS:
+                if packed < indexed:
+                    packed, settled = depth + 1, materialize(stored().select(*KEY), "seen")
+                sofar = stored(packed).select(*KEY)
+                fresh = few_round(sofar.unionByName(settled) if settled else sofar, adjacency, _frontier(stored(), depth))
+            else:
+                if not indexed:
+                    write_bucketed(adjacency.repartition(buckets, *SOURCE), known, f"{base}-edges", SOURCE, buckets=buckets)
+                late = stored(indexed).select(*KEY).repartition(buckets, *KEY)
+                write_bucketed(late, seen, f"{base}-seen", KEY, buckets=buckets)
+                indexed = depth + 1
+                fresh = next_round(spark.table(seen), spark.table(known), depth, rows, True, _frontier(stored(), depth), buckets)
             depth += 1
             rows = store(fresh, depth)
     finally:
@@ -230,24 +245,56 @@ def trace_closure(
     return numbered.join(first, ["project", "entry"]).select(*CLOSURE, (F.col("_n") - F.col("_first")).alias("seq"))
 
 
-def next_round(sofar: DataFrame, adjacency: DataFrame, depth: int, rows: int, bucketed: bool = False) -> DataFrame:
-    """What the rows of `depth` find first: each module once an entry, by its first parent."""
-    key = ["project", "entry", "module_id"]
-    frontier = sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
+def _frontier(sofar: DataFrame, depth: int) -> DataFrame:
+    """The files that the rows of `depth` open."""
+    return sofar.where((F.col("depth") == depth) & F.col("path").isNotNull()).select(
         "project", "entry", F.col("path").alias("src_path"), F.col("place").alias("p_place")
     )
-    if not bucketed and rows <= FEW_ROWS:
+
+
+def _first_parents(opened: DataFrame) -> DataFrame:
+    return opened.groupBy(*KEY).agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
+
+
+def _unknown(found: DataFrame, sofar: DataFrame) -> DataFrame:
+    """Hashed is what a round found; what is seen already only passes by, neither sorted nor sent around."""
+    known = sofar.select(*KEY, F.lit(True).alias("_known"))
+    return found.hint("shuffle_hash").join(known, KEY, "left").where(F.col("_known").isNull())
+
+
+def next_round(
+    sofar: DataFrame, adjacency: DataFrame, depth: int, rows: int, bucketed: bool = False,
+    frontier: DataFrame | None = None, buckets: int | None = None,
+) -> DataFrame:
+    """What the rows of `depth` find first: each module once an entry, by its first parent.
+    `sofar` may be keys alone if the frontier is given."""
+    frontier = _frontier(sofar, depth) if frontier is None else frontier
+    if bucketed:
+        opened = bucketed_join(frontier, adjacency, SOURCE, ["entry"], rows, buckets)
+    elif rows <= FEW_ROWS:
         opened = adjacency.join(F.broadcast(frontier), SOURCE)
     else:
-        opened = (bucketed_join if bucketed else hot_key_join)(frontier, adjacency, SOURCE, ["entry"], rows=rows)
-    found = opened.groupBy(*key).agg(F.min(F.struct("p_place", "ord", F.col("dep_path").alias("path"), "type")).alias("_f"))
-    # hashed is what the round found; what is seen already only passes by, neither sorted nor sent around
-    known = sofar.select(*key, F.lit(True).alias("_known"))
-    return (
-        found.hint("shuffle_hash").join(known, key, "left")
-        .where(F.col("_known").isNull())
-        .select(*key, "_f.path", "_f.type", "_f.p_place", "_f.ord")
-    )
+        opened = hot_key_join(frontier, adjacency, SOURCE, ["entry"], rows=rows)
+    found = _first_parents(opened)
+    if buckets:
+        # combined first, then dealt as the table is: the number of buckets need not be that of a shuffle
+        found = found.repartition(buckets, *KEY)
+    return _unknown(found, sofar).select(*KEY, "_f.path", "_f.type", "_f.p_place", "_f.ord")
+
+
+def few_round(sofar: DataFrame, adjacency: DataFrame, frontier: DataFrame) -> DataFrame:
+    """As next_round for a frontier of at most FEW_ROWS rows: edges and keys seen pass by once and
+    are not moved, so a round costs one scan of either, whatever it finds."""
+    counted = Observation()
+    opened = adjacency.join(F.broadcast(frontier), SOURCE)
+    found = materialize(_first_parents(opened).observe(counted, F.count(F.lit(1)).alias("n")), "found")
+    if counted.get["n"] > FOUND_ROWS:
+        fresh = _unknown(found, sofar)
+    else:
+        # at most as many keys as were found
+        met = sofar.join(F.broadcast(found.select(*KEY)), KEY, "left_semi")
+        fresh = found.join(F.broadcast(met), KEY, "left_anti")
+    return fresh.select(*KEY, "_f.path", "_f.type", "_f.p_place", "_f.ord")
 
 
 def checklist(closure: DataFrame, lang: str = v.DEFAULT_LANG) -> DataFrame:

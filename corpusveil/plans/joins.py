@@ -45,16 +45,20 @@ def hot_key_join(
     return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
-def bucketed_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], rows: int | None = None) -> DataFrame:
+def bucketed_join(
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], rows: int | None = None, buckets: int | None = None
+) -> DataFrame:
     """Inner equi-join as hot_key_join with a few side that is a table bucketed by the keys, which
     stays where it is. Of a key that holds more than a thousandth of a large many side only the
-    rows of that key move, once per salt. `many` is read more than once: pass a stored table."""
+    rows of that key move, once per salt. `many` is read more than once: pass a stored table.
+    `buckets` is the table's number of buckets where it is not that of a shuffle."""
     rows = many.count() if rows is None else rows
+    dealt = many.repartition(buckets, *keys) if buckets else many
     if rows <= SMALL_ROWS:
-        return many.hint("shuffle_hash").join(few, keys)
+        return dealt.hint("shuffle_hash").join(few, keys)
     # at most 1,000 keys
     hot = many.groupBy(*keys).count().where(F.col("count") > rows // 1000).select(*keys)
-    rest = many.join(F.broadcast(hot), keys, "left_anti").join(few.hint("merge"), keys)
+    rest = dealt.join(F.broadcast(hot), keys, "left_anti").join(few.hint("merge"), keys)
     heavy = many.join(F.broadcast(hot), keys, "left_semi")
     return rest.unionByName(salted_join(heavy, few.join(F.broadcast(hot), keys, "left_semi"), keys, spread))
 

@@ -98,11 +98,13 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], parts: list[str] | None = None) -> None:
+def write_bucketed(
+    df: DataFrame, name: str, path: str, keys: list[str], parts: list[str] | None = None, buckets: int | None = None
+) -> None:
     """Add df to a table of the catalog that is bucketed by `keys`, with its files below `path` in
     the shared folder. df should be partitioned by the keys, else each task writes to each bucket."""
     spark = df.sparkSession
-    out = df.write.mode("append").format("parquet").option("path", path).bucketBy(bucket_count(spark), *keys)
+    out = df.write.mode("append").format("parquet").option("path", path).bucketBy(buckets or bucket_count(spark), *keys)
     (out.partitionBy(*parts) if parts else out).saveAsTable(name)
     spark.catalog.refreshTable(name)
 

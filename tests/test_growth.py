@@ -80,6 +80,46 @@ def test_texts_are_cut_after_they_are_spread(spark):
     assert sorted(map(tuple, out.select("id", "text", "n").collect()), key=str) == sorted(want, key=str)
 
 
+def chain(spark):
+    """A way of 40 modules with ways back and two entries that are far apart."""
+    links = [(i, to, k) for i in range(40) for k, to in enumerate([i + 1, (i * 7) % 23, 100 + i % 3])]
+    path = lambda m: f"{m}.java" if m < 41 else None
+    edges = spark.createDataFrame([("p", path(i), k, f"m.{to}", f"m.{to}", path(to)) for i, to, k in links], "project string, src_path string, ord int, spec string, dep_id string, dep_path string")
+    modules = spark.createDataFrame([("p", f"m.{i}", path(i), "class", "spring") for i in range(41)], "project string, module_id string, path string, type string, lang string")
+    entries = spark.createDataFrame([("p", "0.java"), ("p", "30.java")], "project string, entry string")
+    return materialize(entries, "entries"), materialize(edges, "edges"), materialize(modules, "modules")
+
+
+def test_rounds_of_few_rows_leave_the_buckets_alone(spark, monkeypatch):
+    """Before, each of the many small rounds of a deep graph read a file per bucket and depth."""
+    tables = chain(spark)
+    want = sorted(map(tuple, G.trace_closure(*tables, bucketed=False).collect()), key=str)
+    large = G.next_round
+    seen = []
+    monkeypatch.setattr(G, "next_round", lambda *a: seen.append(a[3]) or large(*a))
+    assert sorted(map(tuple, G.trace_closure(*tables, bucketed=True).collect()), key=str) == want and not seen
+
+
+def test_small_and_large_rounds_may_take_turns(spark, monkeypatch):
+    """Keys go to the buckets before a large round; another number of buckets than a shuffle has parts."""
+    tables = chain(spark)
+    want = sorted(map(tuple, G.trace_closure(*tables, bucketed=False).collect()), key=str)
+    monkeypatch.setattr(G, "bucket_count", lambda _: 3)
+    for few, found in ((0, 10), (3, 10), (4, 10), (5, 0)):
+        monkeypatch.setattr(G, "FEW_ROWS", few)
+        monkeypatch.setattr(G, "FOUND_ROWS", found)
+        assert sorted(map(tuple, G.trace_closure(*tables, bucketed=True).collect()), key=str) == want
+
+
+def test_places_sort_like_the_numbers_they_are_made_of(spark, monkeypatch):
+    """An import number of more digits comes later; a place is short."""
+    n = 300
+    edges = spark.createDataFrame([("p", "a", n - i, None, f"m{i}", None) for i in range(n)], "project string, src_path string, ord int, spec string, dep_id string, dep_path string")
+    modules = spark.createDataFrame([("p", "a", "a", "class", "spring")], "project string, module_id string, path string, type string, lang string")
+    out = G.trace_closure(spark.createDataFrame([("p", "a")], "project string, entry string"), edges, modules)
+    assert [r.module_id for r in out.orderBy("seq").collect()] == ["a", *[f"m{i}" for i in reversed(range(n))]]
+
+
 def test_the_last_join_of_hot_keys_does_not_broadcast_the_few_side(spark, monkeypatch):
     monkeypatch.setattr(J, "SMALL_ROWS", 1)
     many = materialize(spark.range(3000).select(F.lit("a").alias("k"), "id"), "many")
