@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusveil import values as v
 from corpusveil.catalog import corpus as C
 from corpusveil.catalog import queries as K
+from corpusveil.functions import text as T
 from corpusveil.operators import graph as G
 from corpusveil.operators import rename as W
 from corpusveil.operators import rules as R
@@ -126,3 +127,16 @@ def test_the_last_join_of_hot_keys_does_not_broadcast_the_few_side(spark, monkey
     few = materialize(spark.createDataFrame([("a", 2)], "k string, y int"), "few")
     out = J.hot_key_join(many, few, ["k"], ["id"])
     assert "SortMergeJoin" in plan(out) and out.count() == 3000
+
+
+def test_deep_templates_need_no_automaton(spark, monkeypatch):
+    """Before, the automaton read every template nested more than four levels deep, step by step."""
+    deep = [f"a = `{'${x' * n} ` // {'}' * n}`; // c\n'b'" for n in (5, 50, 64)]
+    more = f"a = `{'${x' * 65} ` // {'}' * 65}`; // c\n'b'"
+    df = spark.createDataFrame([(t,) for t in [*deep, more, "`" + "${" * 70]], "text string")
+    pieces = lambda c: F.transform(c, lambda p, i: p)
+    for r in df.select("text", pieces(T.js_pieces(F.col("text"))).alias("got"), pieces(T._nested_pieces(F.col("text"))).alias("want")).collect():
+        assert r.got == r.want
+    monkeypatch.setattr(T, "_nested_pieces", lambda c: F.array(F.lit("automaton")))
+    read = {r.text: r.p for r in df.select("text", T.js_pieces(F.col("text")).alias("p")).collect()}
+    assert all(read[t] != ["automaton"] for t in deep) and read[more] == ["automaton"]
