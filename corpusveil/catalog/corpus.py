@@ -46,6 +46,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").repartition(parallelism(spark), "p_partkey")
 
 
+def spread_texts(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows spread over all tasks by `columns`, which should tell them apart: a text costs far more to
+    clean than to read, and a file may have fewer row groups than there are tasks."""
+    return df.repartition(parallelism(df.sparkSession), *columns)
+
+
 def _numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = parts(spark, sf_dir)
     placed = part.select(

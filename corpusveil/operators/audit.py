@@ -77,7 +77,8 @@ def merkle_audit(original: DataFrame, restored: DataFrame, col: str = "text") ->
     problem (missing, unexpected, differs), line (the first that differs, else null).
 
     Hashes are rolled up by project, then by folder in projects that differ, then by file in
-    folders that differ; texts are joined for files that differ only. The hashes are stored once.
+    folders that differ; texts are joined for files that differ only. The hashes are stored once,
+    and so are the restored texts: their restoring is what costs, and they are read more than once.
     Files are multisets: a row that comes back once too few is missing, once too many unexpected.
     Of several texts of a path the one with the smallest hash that the other side lacks is
     compared. Null projects and paths are names like others; a null text is no file.
@@ -87,7 +88,9 @@ def merkle_audit(original: DataFrame, restored: DataFrame, col: str = "text") ->
             "digest", F.sha2("text", 256)
         )
 
-    was, now = hashed(original, strip_spaces(F.col(col))), hashed(restored, F.col(col))
+    # stored before the filter, which would restore each text once more to see whether it is null
+    back = materialize(restored.select("project", "path", col), "restored")
+    was, now = hashed(original, strip_spaces(F.col(col))), hashed(back, F.col(col))
     row = ["project", paths.parent(F.col("path")).alias("folder"), "path", "digest"]
     leaves = materialize(
         was.select(*row, F.lit(1).alias("sign")).unionByName(now.select(*row, F.lit(-1).alias("sign"))), "leaves"
