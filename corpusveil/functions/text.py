@@ -232,19 +232,21 @@ def react_literals(c: Column) -> Column:
     """As java_literals; module specifiers and templates with ${ are not maskable."""
 
     def typed(parts: Column) -> Column:
-        gaps = F.filter(parts, lambda p, i: ~is_match(i))
-
-        def entry(p: Column, i: Column) -> Column:
-            quoted = F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"'))
-            plain_template = F.startswith(p, F.lit("`")) & ~F.contains(p, F.lit("${"))
-            k = F.floor(i / 2).cast("int")
-            specifier = F.rlike(_code_before(gaps, k), F.lit(v.SPECIFIER_CONTEXT))
-            literal = (
-                F.when(is_match(i) & plain_template, p)
-                .when(is_match(i) & quoted, F.when(~specifier, p))
-            )
-            return F.struct(p.alias("text"), literal.alias("literal"))
-
-        return F.transform(parts, entry)
+        def marked(gaps: Column) -> Column:
+            def entry(p: Column, i: Column) -> Column:
+                quoted = F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"'))
+                plain_template = F.startswith(p, F.lit("`")) & ~F.contains(p, F.lit("${"))
+                k = F.floor(i / 2).cast("int")
+                specifier = F.rlike(_code_before(gaps, k), F.lit(v.SPECIFIER_CONTEXT))
+                literal = (
+                    F.when(is_match(i) & plain_template, p)
+                    .when(is_match(i) & quoted, F.when(~specifier, p))
+                )
+                return F.struct(p.alias("text"), literal.alias("literal"))
+
+            return F.transform(parts, entry)
+
+        # the gaps once for a text, not once for each of its strings
+        return let(F.filter(parts, lambda p, i: ~is_match(i)), marked)
 
     return let(js_pieces(c), typed)

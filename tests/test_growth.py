@@ -175,3 +175,12 @@ def test_documents_of_one_row_group_are_cleaned_by_all_tasks(spark, tmp_path, mo
     assert K.a2_round_trip_audit(spark, folder).where("problem = 'missing'").count() == 9
     for sent in seen:
         assert sent.rdd.getNumPartitions() >= 2 * parallelism(spark)
+
+
+def test_code_between_strings_is_gathered_once_a_text(spark):
+    """Before, each string of a text went over all its pieces: the square of their number."""
+    df = materialize(spark.createDataFrame([("from 'm'; " + "call('a', 1);\n" * 3000,)], "text string"), "texts")
+    filters = lambda c: plan(df.select(c.alias("c"))).count("filter(")
+    assert filters(T.react_literals(F.col("text"))) == filters(T.js_pieces(F.col("text"))) + 1
+    found = df.select(F.filter(T.react_literals(F.col("text")), lambda p: p["literal"].isNotNull())["literal"].alias("l")).first().l
+    assert found == ["'a'"] * 3000
