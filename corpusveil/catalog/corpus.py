@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusveil import values as v
-from corpusveil.session import parallelism
+from corpusveil.functions.columns import let
+from corpusveil.session import materialize, number_rows, parallelism
 
 TEXT_MAPPING = [
     ("package", 0, "example.com", "zq-host.test"),
@@ -183,6 +184,23 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The package pairs of mappings()."""
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    page = F.col("page_id") % 3
+    return (
+        table(spark, sf_dir, "pages")
+        .select("page_id", host.alias("host"))
+        .select(
+            F.regexp_extract("host", r"([^.]*)\z", 1).alias("set_id"), F.lit("package").alias("kind"),
+            F.col("page_id").cast("int").alias("ord"), F.col("host").alias("from"),
+            F.when(page == 0, F.regexp_replace("host", r"^[^.]*\.", ""))
+            .when(page == 1, F.concat(F.lit("safe."), "host"))
+            .otherwise(F.col("host")).alias("to"),
+        )
+    )
+
+
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping sets found in the data. Identifiers, one set per language: the first word of
     a document stands for the second. Packages, one set per top-level domain: hosts stand
@@ -197,17 +215,25 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .where(F.col("to") != "")
     )
-    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
-    page = F.col("page_id") % 3
-    package = (
-        table(spark, sf_dir, "pages")
-        .select("page_id", host.alias("host"))
-        .select(
-            F.regexp_extract("host", r"([^.]*)\z", 1).alias("set_id"), F.lit("package").alias("kind"),
-            F.col("page_id").cast("int").alias("ord"), F.col("host").alias("from"),
-            F.when(page == 0, F.regexp_replace("host", r"^[^.]*\.", ""))
-            .when(page == 1, F.concat(F.lit("safe."), "host"))
-            .otherwise(F.col("host")).alias("to"),
-        )
+    return variable.unionByName(_hosts(spark, sf_dir))
+
+
+def whole_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mappings, from whole texts and as one set: every word of a document stands for the next
+    one. The first rule of a literal wins and all rules of a word are made of it alone, so a word
+    has the pair of its first place (by document, then by place in it); hosts keep all pairs."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    pairs = let(words, lambda w: F.arrays_zip(w.alias("from"), F.slice(w, 2, F.size(w)).alias("to")))
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("k", "pair"))
+    # the last word of a text has none after it
+    first = (
+        placed.where(F.col("pair.to").isNotNull())
+        .groupBy(F.col("pair.from").alias("from"))
+        .agg(F.min(F.struct("doc_id", "k", "pair.to")).alias("at"))
+        .select("from", "at.*")
     )
-    return variable.unionByName(package)
+    numbered = number_rows(materialize(first, "pairs"), ["doc_id", "k", "from"], "ord")
+    # few bytes a word, but its forms and their rules are made in the tasks of this side
+    spread = numbered.repartition(parallelism(spark), "from")
+    variable = spread.select(F.lit("variable").alias("kind"), "ord", "from", "to")
+    return variable.unionByName(_hosts(spark, sf_dir).drop("set_id")).select(F.lit("all").alias("set_id"), "*")

@@ -351,8 +351,8 @@ def oracle_sql() -> dict[str, str]:
     q["w1_rename_text"] = f"WITH RECURSIVE {renamed_docs} SELECT doc_id, text FROM rn"
     q["w1_rename_conversations"] = f"""WITH RECURSIVE {TEXT_RULES}, src AS (SELECT conv_id, turn, text FROM conversations),
       {Q.rename_cte('src', 'conv_id, turn', 'rn')} SELECT conv_id, turn, text FROM rn"""
-    many = Q.MAPPINGS.replace("SELECT lang AS set_id", "SELECT 'all' AS set_id")
-    q["w1_rename_many_rules"] = f"WITH RECURSIVE {many}, {Q.variable_rules_cte()}, {DOCS}, {Q.rename_cte('src', 'doc_id', 'rn', 'vr')} SELECT doc_id, text, n::INT AS n FROM rn"
+    q["w1_rename_many_rules"] = f"""WITH RECURSIVE {Q.WHOLE_MAPPINGS}, {Q.rules_cte()}, {DOCS},
+      {Q.rename_cte('src', 'doc_id', 'rn', many=True)} SELECT doc_id, text, n::INT AS n FROM rn"""
     q["w2_count_substitutions"] = f"WITH RECURSIVE {renamed_docs} SELECT doc_id, n::INT AS n FROM rn"
     # occurrences per form: walk the chain of places again, keeping the matched text
     q["w3_substitution_report"] = f"""WITH RECURSIVE {renamed_docs},

@@ -107,6 +107,17 @@ MAPPINGS = """mp AS (
     CASE page_id % 3 WHEN 0 THEN regexp_replace(host, '^[^.]*\\.', '') WHEN 1 THEN 'safe.' || host ELSE host END
   FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages))"""
 
+# as MAPPINGS in one set, each word of a text with the next one; of a word its first place counts
+WHOLE_MAPPINGS = """wd AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents),
+wp AS (SELECT doc_id, unnest(range(1, len(w))) AS k, unnest(w[1:len(w) - 1]) AS frm, unnest(w[2:len(w)]) AS dst FROM wd WHERE len(w) >= 2),
+wf AS (SELECT frm, min({'doc_id': doc_id, 'k': k, 'dst': dst}) AS f FROM wp GROUP BY frm),
+mp AS (
+  SELECT 'all' AS set_id, 'variable' AS kind, row_number() OVER (ORDER BY f, frm) AS ord, frm, f.dst AS dst FROM wf
+  UNION ALL
+  SELECT 'all', 'package', page_id, host,
+    CASE page_id % 3 WHEN 0 THEN regexp_replace(host, '^[^.]*\\.', '') WHEN 1 THEN 'safe.' || host ELSE host END
+  FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages))"""
+
 
 def mapping_values(pairs: list[tuple], set_id: str) -> str:
     rows = ", ".join(f"({quote(set_id)}, '{k}', {n}, {quote(f)}, {quote(t)})" for k, n, f, t in pairs)
@@ -173,10 +184,17 @@ def rules_cte(variants: str = "[{'l': frm, 'r': dst}]") -> str:
     return f"{variable_rules_cte()}, {package_rules_cte(variants)}, rules AS (SELECT * FROM pr UNION ALL SELECT * FROM vr)"
 
 
-def rename_cte(source: str, ids: str, out: str, rules: str = "rules", word: str = r"[A-Za-z0-9_.\-/]") -> str:
+def rename_cte(source: str, ids: str, out: str, rules: str = "rules", word: str = r"[A-Za-z0-9_.\-/]", many: bool = False) -> str:
     """CTEs that rename source(ids, text) into out(ids, text, n): distinct words, places
-    where a rule holds, best rule per place, chain of places without overlap."""
+    where a rule holds, best rule per place, chain of places without overlap. `many` finds
+    the literals of a word by its substrings instead of trying each."""
     p = out + "_"
+    found = f"""{p}cand AS (SELECT w, literal, length(literal) AS n, pk, prep, vrep, shapes, unnest(range(1, length(w) - length(literal) + 2)) AS p
+    FROM {p}words JOIN {p}lit ON contains(w, literal)),"""
+    if many:
+        found = f"""{p}part AS (SELECT w, n, unnest(range(1, length(w) - n + 2)) AS p
+    FROM {p}words JOIN (SELECT DISTINCT length(literal) AS n FROM {p}lit) ON n <= length(w) WHERE regexp_matches(w, '^{word}')),
+{p}cand AS (SELECT w, literal, n, pk, prep, vrep, shapes, p FROM {p}part JOIN {p}lit ON literal = substr(w, p, n)),"""
     other = "[^" + word[1:]
     id_list = ids
     on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in ids.split(","))
@@ -187,8 +205,7 @@ def rename_cte(source: str, ids: str, out: str, rules: str = "rules", word: str
 {p}pieces AS (SELECT {id_list}, unnest(regexp_extract_all(text, '{word}+|{other}+')) AS piece,
     generate_subscripts(regexp_extract_all(text, '{word}+|{other}+'), 1) AS k FROM {source}),
 {p}words AS (SELECT DISTINCT piece AS w FROM {p}pieces),
-{p}cand AS (SELECT w, literal, length(literal) AS n, pk, prep, vrep, shapes, unnest(range(1, length(w) - length(literal) + 2)) AS p
-    FROM {p}words JOIN {p}lit ON contains(w, literal)),
+{found}
 {p}near AS (SELECT *, CASE WHEN p > 1 THEN substr(w, p - 1, 1) ELSE '' END AS l, substr(w, p + n, 2) AS r FROM {p}cand
     WHERE substr(w, p, n) = literal),
 {p}hit AS (SELECT w, p, n,
