@@ -35,9 +35,10 @@ def anchor_index(literals: DataFrame, words: DataFrame) -> DataFrame:
     long = literals.where(F.length("literal") >= GRAM).select(
         known.alias("key"), F.length("literal").alias("len"), F.posexplode(grams(F.col("literal"), GRAM)).alias("skip", "gram")
     )
-    counts = words.select(F.explode(grams(F.col("word"), GRAM)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(words.select(F.explode(grams(F.col("word"), GRAM)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
+    # the grams of very many literals stay where they are if those of the words can come to them
     rarest = (
-        long.join(counts, "gram", "left")
+        long.join(F.broadcast(counts) if fits_broadcast(counts) else counts, "gram", "left")
         .groupBy("key", "len")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skip", "gram")).alias("a"))
         .where("a.n > 0")

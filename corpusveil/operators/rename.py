@@ -22,7 +22,7 @@ from corpusveil import values as v
 from corpusveil.functions.columns import bucket_lookup, collect_dictionary, is_match, let, pieces, replace_matches
 from corpusveil.operators import rules as R
 from corpusveil.operators.anchors import open_places
-from corpusveil.plans.joins import dictionary_join, substitute
+from corpusveil.plans.joins import dictionary_join, fits_broadcast, substitute
 from corpusveil.session import materialize, parallelism
 
 INLINE_LITERALS = 600
@@ -223,6 +223,10 @@ def build_vocabulary(texts: DataFrame, col: str, rules: DataFrame) -> Vocabulary
 
     inner = _inner_places(words.where(~plain), literals)
     edged = whole.unionByName(inner)
+    if not fits_broadcast(literals):
+        # most forms of very many names stand in no word: the join need not repeat them
+        edged = materialize(edged, "places")
+        literals = materialize(literals.join(edged.select("literal").distinct().hint("merge"), "literal", "left_semi"), "found")
     hits = dictionary_join(edged, literals, ["literal"], ["word"])
     by_shape = F.lit(False)
     for shape, flag in [

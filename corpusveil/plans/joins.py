@@ -18,7 +18,8 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: list[s
     `spread` columns; the few side is repeated once per salt."""
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     repeated = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    # not by the planner's guess of the few side, which is the size of compressed files without their copies
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def hot_key_join(
